@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import quality
 from .near_dup import op10_minhash_near_dedup
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (quality.op6_quality_rules, op8_toxicity, op10_minhash_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
