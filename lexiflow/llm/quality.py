@@ -5,7 +5,8 @@ cutoff for the document's stratum (its language). Cutoffs come from a fixed grid
 cutoff is certified when the exact binomial test says that its false rejection rate among good rows is below epsilon, that
 is P(Bin(n, epsilon / rules) <= k) <= delta / (strata * rules * cutoffs), with n good rows of which k would be rejected;
 that is the same as an exact (Clopper-Pearson) upper bound below epsilon / rules, Bonferroni-corrected over every test made. The
-lowest certified cutoff of each rule and stratum applies; a rule without one is off there. With probability 1 - delta no
+certified cutoff of each rule and stratum that rejects most bad less good labelled rows applies, of several the highest (any
+choice among certified cutoffs keeps the guarantee); a rule without one is off there. With probability 1 - delta no
 stratum loses more than epsilon of its good rows.
 
 All labelled rows are used: the grid is fixed beforehand, so nothing is fitted on the rows that certify it.
@@ -56,12 +57,12 @@ def thresholds(measured: DataFrame, labels: DataFrame, epsilon: float = EPSILON,
     """stratum, rule, cutoff, n, k: the certified cutoffs. measured: doc_id, stratum and a column for each rule."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
     held = measured.join(good, "doc_id")
-    counts = [F.sum(F.when(F.col(r) >= c, 1).otherwise(0)).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)]
-    n = held.groupBy("stratum").agg(F.count(F.when(F.col("good") == 1, 1)).alias("n"), F.lit(0).alias("_"))
-    k = held.where("good = 1").groupBy("stratum").agg(*counts)
-    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r in RULES for i, c in enumerate(CUTOFFS)]))
-    tests = n.select("stratum", "n").join(k, "stratum").select("stratum", "n", cells.alias("x")).select("stratum", "n", "x.*")
-    strata = n.agg(F.count("*").alias("strata"))
+    grid = [(r, i, float(c)) for r in RULES for i, c in enumerate(CUTOFFS)]
+    counts = [F.count(F.when((F.col(r) >= c) & (F.col("good") == g), 1)).alias(f"{r}_{i}_{g}") for r, i, c in grid for g in (0, 1)]
+    table_ = held.groupBy("stratum").agg(F.count(F.when(F.col("good") == 1, 1)).alias("n"), *counts)
+    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}_1").alias("k"), F.col(f"{r}_{i}_0").alias("bad")) for r, i, c in grid]))
+    tests = table_.select("stratum", "n", cells.alias("x")).select("stratum", "n", "x.*").where("n > 0")
+    strata = table_.agg(F.count("*").alias("strata"))
     e, level = epsilon / len(RULES), delta / (len(RULES) * len(CUTOFFS))
 
     @F.pandas_udf("double")
@@ -81,7 +82,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, epsilon: float = EPSILON,
         return pd.Series([one(int(a), int(b)) for a, b in zip(n, k)], dtype=float)
 
     sure = tests.crossJoin(strata).withColumn("tail", tail("n", "k")).where(F.col("tail") <= F.log(F.lit(level) / F.col("strata")))
-    return sure.groupBy("stratum", "rule").agg(F.min_by(F.struct("cutoff", "n", "k"), "cutoff").alias("x")).select("stratum", "rule", "x.cutoff", "x.n", "x.k")
+    return sure.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n", "k"), F.struct(F.col("bad") - F.col("k"), "cutoff")).alias("x")).select("stratum", "rule", "x.cutoff", "x.n", "x.k")
 
 
 def _wide(limits: DataFrame) -> tuple[DataFrame, int]:
@@ -136,13 +137,14 @@ measured AS MATERIALIZED (SELECT doc_id, stratum,
     coalesce((length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g'))) / n, 0) AS capitals
   FROM words),
 good AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT measured.*, good FROM measured JOIN good USING (doc_id)),
+held AS MATERIALIZED (SELECT measured.*, good FROM measured JOIN good USING (doc_id)),
 strata AS (SELECT count(DISTINCT stratum) AS strata FROM held),
 grid AS ({counts}),
-tests AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE (CASE rule {unpivot} END) >= cutoff) AS k
-  FROM held, grid WHERE good = 1 GROUP BY ALL),
+tests AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE good = 1) AS n, count(*) FILTER (WHERE good = 1 AND (CASE rule {unpivot} END) >= cutoff) AS k,
+  count(*) FILTER (WHERE good = 0 AND (CASE rule {unpivot} END) >= cutoff) AS bad FROM held, grid GROUP BY ALL),
 tails AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({e!r}) + (n - i) * ln(1 - {e!r}))) FROM range(0, k + 1) t(i)) AS tail FROM tests),
-sure AS (SELECT stratum, rule, cutoff FROM tails, strata WHERE k < n AND tail <= {level!r} / strata),
+sure AS (SELECT stratum, rule, cutoff FROM tails, strata WHERE k < n AND tail <= {level!r} / strata
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - k DESC, cutoff DESC) = 1),
 limits AS (SELECT stratum, {cuts} FROM sure GROUP BY stratum),
 judged AS (SELECT doc_id, measured.stratum, concat_ws(',', {failed}) AS failed FROM measured LEFT JOIN limits USING (stratum))
 SELECT doc_id, stratum, failed, failed = '' AS kept FROM judged"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
+from .bpe import op3_bpe
 from .near_dup import op10_minhash_near_dedup
 from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (quality.op6_quality_rules, op8_toxicity, op10_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
+QUERIES = {f.__name__: f for f in (op3_bpe, quality.op6_quality_rules, mixing.op7_mixing_sources, op8_toxicity, op10_minhash_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.SQL, "op7_mixing_sources": mixing.SQL}
