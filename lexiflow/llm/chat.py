@@ -2,7 +2,7 @@
 
 A legal conversation is: an optional system turn, then user and assistant turns by turns, ending with the assistant. For a
 conversation's turns a dynamic program over that automaton, whose state is the role of the last turn placed, finds the cheapest
-repair: a turn may be relabelled (RELABEL), merged into the turn before it where both have one role (MERGE), and empty turns
+repair: a turn may be relabelled (RELABEL; UNKNOWN if its role is none of the three), merged into the turn before it where both have one role (MERGE), and empty turns
 may be put in where the automaton asks for them (INSERT each). The repaired turns are then rendered as a template.
 
 Cost at scale. The program depends on the roles alone, so its result is kept for each distinct sequence of roles that a
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ._spark import table
 
-MERGE, RELABEL, INSERT = 1, 2, 3
+#: Prices; UNKNOWN is that of giving a turn of no known role one.
+MERGE, UNKNOWN, INSERT, RELABEL = 1, 1, 2, 4
 ROLES = ("system", "user", "assistant")
 #: Legal successors of each state; None: the start.
 NEXT = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
@@ -44,7 +45,7 @@ def repair(roles: tuple[str | None, ...]) -> tuple[int, str, tuple[str, ...]]:
         for state, (cost, ops, given) in best.items():
             for label in ROLES:
                 other = label != role
-                price = RELABEL if other else 0
+                price = (RELABEL if role in ROLES else UNKNOWN) if other else 0
                 options = []
                 if label == state:
                     options.append((price + MERGE, "s" if other else "m"))

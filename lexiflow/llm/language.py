@@ -161,6 +161,8 @@ def _vote(names: list[str], pairs: list[tuple[int, str, str]], s: np.ndarray) ->
 def predict(texts: pa.Array, m: Machines) -> tuple[list[str], list[str], np.ndarray]:
     """(families, languages, margins)."""
     fams, langs, margins = [], [], []
+    if not m.languages:
+        return ["und"] * len(texts), ["und"] * len(texts), np.zeros(len(texts))
     by_family = {f: [v for v in m.languages if family(v) == f] for f in sorted({family(v) for v in m.languages})}
     table_ = np.vstack([m.weights, np.zeros((1, len(m.pairs)))])  # -1 gathers the last row
     for _, part in B.pieces(texts):
@@ -181,7 +183,7 @@ def predict(texts: pa.Array, m: Machines) -> tuple[list[str], list[str], np.ndar
                 lang[d] = by_family[name][b]
             if len(by_family[name]) > 1:
                 margin[own] = np.minimum(margin[own], close) if len(names) > 1 else close
-        none = (n == 0) | (len(names) == 0)
+        none = n == 0
         fams += ["und" if x else names[i] for x, i in zip(none, f)]
         langs += ["und" if x else v for x, v in zip(none, lang)]
         margins.append(np.where(none, 0.0, np.round(margin, 6)))
