@@ -99,7 +99,7 @@ def confusion(rows: DataFrame, gold: str, predicted: str, top: int = 10) -> Data
     return rows.where(F.col(gold) != F.col(predicted)).groupBy(gold, predicted).agg(F.count("*").alias("n")).orderBy(F.desc("n"), gold, predicted).limit(top)
 
 
-def next_where(rows: DataFrame, partition: list[str], order: str, wanted: Column, column: str) -> Column:
+def next_where(partition: list[str], order: str, wanted: Column, column: str) -> Column:
     """Of each row, the column's value at the next row that is wanted."""
     after = Window.partitionBy(*partition).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     return F.first(F.when(wanted, F.col(column)), ignorenulls=True).over(after)
