@@ -213,11 +213,147 @@ for _id, _add in ((7, "i"), (23, "")):
         ]
     ]
 
-#: number -> (prefix, least length, number it stands for, whether vowels change as well). Debitives and vowel changes.
-REDIRECTS = {
-    4: ("jā", 4, 0, False), 5: ("jā", 4, 9, False), 12: ("jā", 4, 8, False), 19: ("jā", 4, 2, False),
-    28: ("jā", 4, 20, False), 29: ("jā", 4, 27, False), 31: ("jā", 4, 30, False), 37: ("jā", 4, 36, False),
-}
+# Latgalian. Letters soften before front vowels, and harden back.
+_HARD = (("ļļ", "ll"), ("ņņ", "nn"), ("ļ", "l"), ("ņ", "n"), ("ķ", "k"), ("ģ", "g"))
+_SOFT = tuple((b, a) for a, b in _HARD)
+_EIT = (("ld", "ļdei"), ("nd", "ņdei"), ("g", "dzei"), ("k", "cei"), ("ļ", "lei"), ("ņ", "nei"))
+
+
+def _first(pairs: tuple[tuple[str, str], ...], more: str = "", cut: int = 0, **options) -> Group:
+    """Branches that turn the first matching ending into another, else keep the stem; `more` is put on in either case."""
+    return [*[[E(a, len(a), b + more, **options)] for a, b in pairs], [E(add=more, cut=cut, **options)]]
+
+
+def _each(branches: Group, **options) -> Group:
+    from dataclasses import replace
+
+    return [[replace(e, **options) for e in branch] for branch in branches]
+
+
+def _vys(branches: Group) -> Group:
+    """The branches with vysu- or vys- taken off as superlatives, else as comparatives."""
+    return [*_each(branches, starts="vysu", head=4, degree=S), *_each(branches, starts="vys", head=3, degree=S), *_each(branches, degree=C)]
+
+
+def _sup(branches: Group) -> list[Group]:
+    """The comparative of the branches, and superlatives with vys- and vysu- where asked for."""
+    return [_each(branches, degree=C), *[_each(branches, degree=S, pre=p, superlative=True) for p in ("vys", "vysu")]]
+
+
+def _marked(*rows: tuple[str, tuple[str, ...]]) -> Group:
+    return [[E(ends, len(ends), to, mark=f"{to} -> {ends}") for to in tos] for ends, tos in rows]
+
+
+_UOK = [[E("uok", 3, least=4)]]
+_NO_UOK = [E("uok", emit=False)]
+ANALYSIS |= {
+    99: [_each(_first(_SOFT), mark="ļņķģ -> lnkg")],
+    100: [_each(_first(_SOFT), mark="lnkg -> lļnņkķgģ"), [[E("l/n/k/g", mark="lnkg -> lļnņkķgģ")]]],
+    101: [
+        [
+            *_marked(("kš", ("kst",)), ("šļ", ("sl",)), ("žļ", ("zl",)), ("šm", ("sm",)), ("šņ", ("sn",)), ("žņ", ("zn",)), ("ļļ", ("ll",)), ("ņņ", ("nn",))),
+            *_marked(("č", ("c",)), ("ž", ("d", "z")), ("š", ("t", "s")), ("ķ", ("k",)), ("ļ", ("l",)), ("ņ", ("n",))),
+            [E()],
+        ]
+    ],
+    102: [
+        [
+            *_marked(("kš", ("kst",)), ("šl", ("šļ", "sl")), ("žl", ("žļ", "zl")), ("šm", ("šm", "sm")), ("šn", ("šņ", "sn")), ("žn", ("žņ", "zn")), ("ll", ("ļļ",)), ("nn", ("ņņ",))),
+            *_marked(("č", ("c",)), ("š", ("t", "s")), ("ž", ("d", "z")), ("l", ("ļ",)), ("n", ("ņ",)), ("k", ("ķ",)), ("g", ("ģ",))),
+            [E()],
+        ]
+    ],
+    103: [_vys(_UOK), [[E(degree=P)]]],
+    104: [[*_vys(_UOK), *_first(_SOFT, degree=P)]],
+    105: [_vys([[E("uoka", 4, least=5)]]), [[E("a", 1, degree=P)], [E("ē/e", 0, "j", degree=P)]]],
+    106: [_vys(_UOK)],
+    107: [_first(_HARD)],
+    108: [_vys([*[[E(f"{a}uok", len(a) + 3, b, least=4)] for a, b in _HARD], *_UOK])],
+    109: [[*_vys([[E("uok", 3, x, least=5) for x in ("", "i", "a", "ai")]]), [E(degree=P)]]],
+    110: [_marked(("e", ("ei", "ē")), ("o", ("uo",)))],
+    111: [[[E("uoj", 1, mark="uo -> uoj")], *_marked(("ov", ("uo",)), ("iej", ("ē",))), [E("ej", 2, "ie", mark="ei -> ej")]]],
+    112: [[[E("uoj", 1, mark="uo -> uoj")], *_marked(("ov", ("uo",))), [E("ēj", 1, mark="ē -> ēj")], [E("ej", 2, "ie", mark="ei -> ej")]]],
+    113: [[*_marked(("ie", ("ē",))), [E("uo/ei")]]],
+    114: [[*_marked(("ā", ("ē",))), [E("uo/ei")]]],
+    115: [_vys([[E("e", 1, "ei"), E("e", 1, "ē")], [E("o", 1, "uo")]])],
+    116: [_vys([[E("ā", 1, "ē")], [E("uo/ei")]])],
+    117: [[[E("uo")], *_marked(("ie", ("ē",))), [E("e", 1, "ie", mark="ei -> e")]]],
+    118: [_vys([[E("ie", 2, "ē")], [E("e", 1, "ie")], [E("uo")]])],
+    119: [[[E(add="ei", mark="ei -> ")]]],
+    120: [_vys([[E(add="ei")]])],
+    121: [_vys([[E()]])],
+    122: [[[E(a, len(a), b, mark=f"{b} -> {a}")] for a, b in _EIT]],
+    123: [_vys([[E(a, len(a), b)] for a, b in _EIT])],
+    124: [[[E(add="ē", mark="ē -> ")]]],
+    125: [_each(_first(_HARD, "ē"), mark="ē -> ")],
+    126: [_vys([[E(add="ē")]])],
+    127: [_vys(_first(_HARD, "ē"))],
+}
+_LTG_CLUSTERS = (("kst", "kš"), ("sl", "šļ"), ("zl", "žļ"), ("sm", "šm"), ("sn", "šņ"), ("zn", "žņ"), ("ll", "ļļ"), ("nn", "ņņ"), ("c", "č"), ("d", "ž"), ("s", "š"), ("t", "š"), ("z", "ž"), ("k", "ķ"), ("l", "ļ"), ("n", "ņ"))
+_LTG_BEFORE = (
+    ("kst", "kš"), ("šļ", "šl"), ("sl", "šl"), ("žļ", "žl"), ("zl", "žl"), ("šm", "šm"), ("sm", "šm"), ("šņ", "šn"), ("sn", "šn"), ("žņ", "žn"), ("zn", "žn"), ("ļļ", "ll"), ("ņņ", "nn"),
+    ("c", "č"), ("s", "š"), ("t", "š"), ("z", "ž"), ("d", "ž"), ("ļ", "l"), ("ņ", "n"), ("ķ", "k"), ("ģ", "g"),
+)
+
+
+def _uok(branches: Group) -> list[Group]:
+    return [[_NO_UOK, *g] for g in _sup(branches)]
+
+
+_UO_EI, _NO_AI = E("uo/ei"), [[E("ai", 2, "uok")], [E("i/a", 1, "uok")], [E(add="uok")]]
+GENERATION |= {
+    99: [_first(_HARD)],
+    100: [_first(_HARD)],
+    101: [_first(_LTG_CLUSTERS)],
+    102: [_first(_LTG_BEFORE)],
+    103: [[[E(degree=P)]], *_uok([[E(add="uok")]])],
+    104: [_first(_HARD, degree=P), *_uok([[E(add="uok")]])],
+    105: [[[E("ēj/ej", 1, degree=P)], [E(add="a", degree=P)]], *_sup([[E(add="uoka")]])],
+    106: _uok([[E(add="uok")]]),
+    107: [_first(_SOFT)],
+    108: _uok(_first(_SOFT, "uok")),
+    109: [[[E(degree=P)]], *_sup(_NO_AI)],
+    110: [[[E("uo", 2, "o")], [E("ei", 2, "e")], [E("ē", 1, "e")]]],
+    111: [[[E("uo", 0, "j"), E("uo", 2, "ov")], [E("ei", 2, "ej")], [E("ē", 1, "iej")]]],
+    112: [[[E("uo", 0, "j"), E("uo", 2, "ov")], [E("ei", 2, "ej")], [E("ē", 0, "j")]]],
+    113: [[[E("ē", 1, "ie")], [_UO_EI]]],
+    114: [[[E("ē", 1, "ā")], [_UO_EI]]],
+    115: _sup([[E("uo", 2, "o")], [E("ei", 2, "e")], [E("ē", 1, "e")]]),
+    116: _sup([[E("ē", 1, "ā")], [_UO_EI]]),
+    117: [[[E("uo")], [E("ei", 2, "e")], [E("ē", 1, "ie")]]],
+    118: _sup([[E("ei", 2, "e")], [E("ē", 1, "ie")], [E("uo")]]),
+    119: [[[E("ei", 2)]]],
+    120: _sup([[E("ei", 2)]]),
+    121: _sup([[E()]]),
+    122: [[[E(b, len(b), a)] for a, b in _EIT]],
+    123: _sup([[E(b, len(b), a)] for a, b in _EIT]),
+    124: [[[E("ē", 1)]]],
+    125: [[*[[E(f"{a}ē", len(a) + 1, b)] for a, b in _SOFT], [E("ē", 1)]]],
+    126: _sup([[E("ē", 1)]]),
+    127: _sup([*[[E(f"{a}ē", len(a) + 1, b)] for a, b in _SOFT], [E("ē", 1)]]),
+}
+
+#: number -> (prefix, least length, number it stands for, whether the last vowel changes as well).
+REDIRECTS: dict[int, tuple[str | None, int, int, bool]] = {
+    **{k: ("jā", 4, to, False) for k, to in ((4, 0), (5, 9), (12, 8), (19, 2), (28, 20), (29, 27), (31, 30), (37, 36))},
+    **{k: ("juo", 5, to, v) for k, to, v in ((150, 110, False), (151, 119, True), (152, 122, True), (153, 125, False))},
+    **{k: (None, 0, to, True) for k, to in ((160, 114), (161, 116), (162, 119), (163, 120), (164, 122), (165, 123), (166, 124), (167, 126))},
+}
+_TAIL = "([bcčdfgģhjkķlļmnņprŗsštvzž]+[aāeēiīyoōuū]*)$"
+#: The last vowel before the final consonants, and what it becomes: from a base stem, and back to it.
+VOWELS = {
+    "g": ("^(.*?)(ai|ei|ui|oi|ie|[aāeēiīouūy])" + _TAIL, {"a": "o", "e": "a", "ē": "ā", "i": "y"}),
+    "a": ("^(.*?)(uo|[aāeēiīouūy]|)" + _TAIL, {"a": "e", "ā": "ē", "y": "i", "o": "a"}),
+}
+
+
+def vowel_changed(stem: Column, direction: str) -> Column:
+    pattern, to = VOWELS[direction]
+    vowel = F.regexp_extract(stem, pattern, 2)
+    new = F.coalesce(*[F.when(vowel == a, b) for a, b in to.items()])
+    return F.when(new.isNull(), stem).otherwise(F.concat(F.regexp_extract(stem, pattern, 1), new, F.regexp_extract(stem, pattern, 3)))
+
+
 #: Numbers whose analyses are never checked, and those where a failed check drops the analysis; elsewhere it is ignored.
 UNCHECKED, STRICT = (18, 20, 34, 35), (1, 2, 5, 6, 7, 8, 9, 14, 15, 17, 23, 26, 36, 37)
 
@@ -272,17 +408,17 @@ def variants(stems: DataFrame, direction: str) -> DataFrame:
     rows = stems.where("stem <> ''").join(F.broadcast(to), F.col("mija") == F.col("from_mija"), "left")
     if direction == "a":
         rows = rows.where("prefix IS NULL OR (startswith(stem, prefix) AND length(stem) >= least)")
-        rows = rows.withColumn("_stem", F.when(F.col("prefix").isNull(), F.col("stem")).otherwise(F.expr("substring(stem, length(prefix) + 1)")))
+        bare = F.when(F.col("prefix").isNull(), F.col("stem")).otherwise(F.expr("substring(stem, length(prefix) + 1)"))
+        rows = rows.withColumn("_stem", F.when(F.col("vowels"), vowel_changed(bare, "a")).otherwise(bare))
     else:
-        rows = rows.withColumn("_stem", F.col("stem"))
+        changed = F.when(F.col("vowels"), vowel_changed(F.col("stem"), "g")).otherwise(F.col("stem"))
+        rows = rows.withColumn("_stem", F.concat(F.coalesce("prefix", F.lit("")), changed))
     rows = rows.withColumn("_mija", F.coalesce("target", "mija"))
     hit = rows.join(F.broadcast(table), F.col("_mija") == F.col("rule_mija")).where(_applies())
     hit = hit.withColumn("_least", F.min("rank").over(Window.partitionBy(*key, "grp"))).where("rank = _least AND emit")
     core = F.expr("substring(_stem, head + 1, greatest(length(_stem) - head - cut, 0))")
     made = F.concat(F.col("pre"), core, F.col("add"))
     made = F.when(F.col("use_third"), F.col("third_stem")).otherwise(made)
-    if direction == "g":
-        made = F.concat(F.coalesce("prefix", F.lit("")), made)
     return hit.select(*key, made.alias("variant"), "degree", "mark", "length", F.col("ord").alias("variant_ord"))
 
 

@@ -171,16 +171,23 @@ def stem_lookup(spark, d):
     return _matches(spark, d).join(s, ["paradigm_id", "stem"]).select("token", "ending_id", "lexeme_id").distinct()
 
 
-_SAMPLES = sorted({x for x in "rak rok tēv mež galdiņ lāč zaļ vislielāk lielāk jārakt jārok skaņ dod skaš guļ sak saka saki māk sēž sēdē sacī gulē vajag vajadzē iet ej kos pūz zemnīc lūdz sarūdz veikus inā sargā ļaud kāj mājās".split()})
+_SAMPLES = sorted({x for x in "mac mēc mic moc māc myc krs ej iej uoj dov lobuok vysulobuok vyslobuok lobuoka lobuļuok muocei ļdei dzeiv runuo skraidē juomuoc juorunuo ļļ muokslin tautiš kuš rak rok tēv mež galdiņ lāč zaļ vislielāk lielāk jārakt jārok skaņ dod skaš guļ sak saka saki māk sēž sēdē sacī gulē vajag vajadzē iet ej kos pūz zemnīc lūdz sarūdz veikus inā sargā ļaud kāj mājās".split()})
 _IDS = sorted({*alternation.ANALYSIS, *alternation.REDIRECTS})
 _CASES = [(s, m, t, p, u) for s in _SAMPLES for m in _IDS for t, p, u in (("", False, False), ("kod", True, True))]
 _RULE = "direction, mija, grp, rank, ord, ends, not_ends, starts, min_len, syllables, third, not_third, proper, superlative, head, cut, pre, addition, degree, mark, length, emit, use_third"
 
 
+def _vowel_sql(stem: str, direction: str) -> str:
+    pattern, to = alternation.VOWELS[direction]
+    new = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in to.items())
+    part = lambda i: f"regexp_extract({stem}, '{pattern}', {i})"
+    return f"coalesce({part(1)} || CASE {part(2)} {new} END || {part(3)}, {stem})"
+
+
 def _mija_sql(direction: str, tail: str) -> str:
-    strip = "CASE WHEN prefix IS NULL THEN stem ELSE substr(stem, length(prefix) + 1) END" if direction == "a" else "stem"
+    bare = "CASE WHEN prefix IS NULL THEN stem ELSE substr(stem, length(prefix) + 1) END"
+    strip = f"CASE WHEN vowels THEN {_vowel_sql('(' + bare + ')', 'a')} ELSE {bare} END" if direction == "a" else f"coalesce(prefix, '') || CASE WHEN vowels THEN {_vowel_sql('stem', 'g')} ELSE stem END"
     need = "WHERE prefix IS NULL OR (starts_with(stem, prefix) AND length(stem) >= least)" if direction == "a" else ""
-    pre = "" if direction == "a" else "coalesce(prefix, '') || "
     return f"""WITH {values('c', 'stem, mija, third_stem, proper, superlative', _CASES)}, {values('rules', _RULE, alternation.rule_rows())},
 {values('redirects', 'mija, prefix, least, target, vowels', [(k, *v) for k, v in alternation.REDIRECTS.items()])},
 x AS (SELECT c.*, prefix, {strip} AS st, coalesce(target, c.mija) AS to_mija FROM c LEFT JOIN redirects USING (mija) {need}),
@@ -188,7 +195,7 @@ hit AS (SELECT x.*, r.* EXCLUDE (mija, proper, superlative), min(rank) OVER (PAR
   WHERE (ends IS NULL OR regexp_matches(st, ends)) AND (not_ends IS NULL OR NOT regexp_matches(st, not_ends)) AND (starts IS NULL OR starts_with(st, starts)) AND length(st) >= min_len
   AND len(regexp_extract_all(lower(st), '[aāeēiīouū]+')) >= syllables AND (third IS NULL OR regexp_matches(third_stem, third)) AND (not_third IS NULL OR NOT regexp_matches(third_stem, not_third))
   AND (r.proper IS NULL OR r.proper = x.proper) AND (r.superlative IS NULL OR r.superlative = x.superlative)),
-found AS (SELECT stem, mija, third_stem, proper, superlative, {pre}CASE WHEN use_third THEN third_stem ELSE pre || substr(st, head + 1, greatest(length(st) - head - cut, 0)) || addition END AS variant, degree, mark, length, ord AS variant_ord FROM hit WHERE rank = low AND emit)
+found AS (SELECT stem, mija, third_stem, proper, superlative, CASE WHEN use_third THEN third_stem ELSE pre || substr(st, head + 1, greatest(length(st) - head - cut, 0)) || addition END AS variant, degree, mark, length, ord AS variant_ord FROM hit WHERE rank = low AND emit)
 {tail}"""
 
 

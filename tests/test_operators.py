@@ -119,6 +119,27 @@ def test_alternation_generation(spark):
     assert [v for v, _, _ in forms(spark, "g", ("lauž", 7, "lauz", False, False))] == ["lauz"]
 
 
+@pytest.mark.parametrize(("direction", "mija", "pairs"), [("g", 160, [("mac", "moc"), ("mēc", "māc"), ("mic", "myc")]), ("a", 160, [("moc", "mac"), ("myc", "mic"), ("krs", "krs")])])
+def test_latgalian_vowels(spark, direction, mija, pairs):
+    rows = spark.createDataFrame(pairs, "stem string, wanted string").withColumn("got", alternation.vowel_changed(F.col("stem"), direction))
+    assert all(r.wanted == r.got for r in rows.collect())
+
+
+def test_latgalian_alternation(spark):
+    assert [v for v, _, _ in forms(spark, "a", ("ej", 111, *A))] == ["ie"]
+    assert [(v, d) for v, d, _ in forms(spark, "a", ("vysulobuok", 106, *A))] == [("lob", "Vispārākā")]
+    assert [v for v, _, _ in forms(spark, "g", ("runuo", 111, *A))] == ["runuoj", "runov"]
+    assert [v for v, _, _ in forms(spark, "g", ("lob", 103, "", False, True))] == ["lob", "lobuok", "vyslobuok", "vysulobuok"]
+    assert [v for v, _, _ in forms(spark, "a", ("kul", 127, *A))] == ["kulē"]
+    assert [v for v, _, _ in forms(spark, "g", ("kulē", 127, "", False, False))] == ["kuļ"]
+
+
+def test_every_number_is_known():
+    known = {*alternation.ANALYSIS, *alternation.REDIRECTS}
+    assert len(alternation.ANALYSIS) == len(alternation.GENERATION) == 59 and len(alternation.REDIRECTS) == 20
+    assert not known & {18, *range(39, 99)}
+
+
 def test_bags(spark):
     row = spark.range(1).select(F.create_map(F.lit("Tips"), F.lit("Lietvārds|Vārds")).alias("b"))
     one = lambda c: row.select(c.alias("x")).first().x
