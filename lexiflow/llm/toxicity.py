@@ -13,8 +13,8 @@ distinct vote patterns (at most 2 ** voters) reach the driver.
 Classifier. Logistic regression on the voters' counts and hashed hit words is trained on posterior labels of a bounded
 sample and scores every document.
 
-Bounds: max_labelled labelled rows for the lexicons, max_train rows for the classifier, both taken by hash order of
-doc_id. Everything else covers all rows.
+Bounds: about max_labelled labelled rows for the lexicons and about max_train rows for the classifier, by a share of the hash
+range. Everything else covers all rows.
 
 Defined results: null and empty texts have no hits and are not toxic. Labels that are null or belong to no document are
 ignored; of several labels for a doc_id the largest counts; a null doc_id has no label. Equal texts get equal scores.
@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -151,10 +151,16 @@ def _pack(lexicon: Lexicon) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(h), k) for k, h in kinds]), pa.int32()), pa.array(np.concatenate([h for _, h in kinds]).view(np.int64), pa.int64())], names=["size", "hash"])
 
 
+def _share(hashed: Column, most: int, of: int) -> Column:
+    """A condition that about `most` of `of` rows fulfil, by their hashes. Unlike an ordered limit it sends nothing but what it keeps
+    to the driver, however many tasks there are."""
+    return F.pmod(hashed, F.lit(2**30)) < int(2**30 * min(1.0, most / max(of, 1)))
+
+
 def mined_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
     """The lexicons of at most max_labelled labelled rows, mined in one task on an executor."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    bounded = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    bounded = known.where(_share(F.xxhash64("doc_id", F.lit("label")), max_labelled, known.count()))
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(bounded), "doc_id").select("doc_id", "text", F.col("_toxic").cast("int").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,11 +307,11 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_train: int = MAX_TRAIN) -> tuple[Model, DataFrame]:
     """The model, and (doc_id, hits) of all rows."""
     lexicon = mined_lexicon(docs, labels, max_labelled)
-    seen = cut(docs.select("doc_id", _extract(lexicon)("text").alias("hits")))
+    seen = cut(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), _extract(lexicon)("text").alias("hits")))
     votes = seen.groupBy("hits.pattern").count().orderBy("pattern").collect()
     patterns, counts = np.array([r[0] for r in votes] or [1 << (len(VOTERS) - 1)], dtype=np.int64), np.array([r[1] for r in votes] or [1])
     model = fit_label_model(patterns, counts)
-    rows = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "hits").limit(max_train).select("hits.*").collect()
+    rows = seen.where(_share(F.col("hash"), max_train, int(counts.sum()))).orderBy("hash", "hits").select("hits.*").collect()
     got = {k: np.array([r[k] for r in rows], dtype=np.int64) for k in (x.split()[0] for x in _STRUCT.split(", "))}
     got["hashed"] = got["hashed"].view(np.uint64)
     known = dict(zip(patterns.tolist(), model.posterior.tolist()))
