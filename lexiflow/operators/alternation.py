@@ -425,9 +425,13 @@ def variants(stems: DataFrame, direction: str) -> DataFrame:
 def verified(found: DataFrame) -> DataFrame:
     """The analyses (rows of variants(..., 'a')) that hold: inflecting the variant again has to give the stem back where the number
     is strict; a proper name may also do so as a common noun. Number 7 lets variants in -dod pass."""
-    rows = found.withColumn("_id", F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in found.columns]))))
+    # what decides is asked once, however many lexemes or endings share it
+    key = ["stem", "mija", "third_stem", "proper", "variant", "_degree"]
+    rows = found.withColumn("_degree", F.coalesce("degree", F.lit("")))
+    keys = rows.select(*key).distinct()
     third = F.when((F.col("mija") == 6) & F.col("third_stem").endswith("ī"), F.expr("substring(third_stem, 1, length(third_stem) - 1)")).otherwise(F.col("third_stem"))
-    asked = rows.select("_id", F.col("stem").alias("wanted"), F.col("variant").alias("stem"), "mija", third.alias("third_stem"), F.explode(F.array_distinct(F.array(F.col("proper"), F.lit(False)))).alias("proper"), F.coalesce(F.col("degree") == S, F.lit(False)).alias("superlative")).distinct()
-    again = variants(asked, "g").where("lower(variant) = lower(wanted)").select("_id").distinct().withColumn("_ok", F.lit(True))
+    asked = keys.where(F.col("mija").isin(*STRICT)).select(*[F.col(c).alias(f"_{c}") for c in key], F.col("variant").alias("stem"), "mija", third.alias("third_stem"), F.explode(F.array_distinct(F.array(F.col("proper"), F.lit(False)))).alias("proper"), (F.col("_degree") == S).alias("superlative"))
+    again = variants(asked.withColumnsRenamed({"_stem": "_wanted", "_mija": "_number"}), "g").where("lower(variant) = lower(_wanted)")
+    again = again.select(F.col("_wanted").alias("stem"), F.col("_number").alias("mija"), F.col("_third_stem").alias("third_stem"), F.col("_proper").alias("proper"), F.col("_variant").alias("variant"), F.col("__degree").alias("_degree")).distinct().withColumn("_ok", F.lit(True))
     strict = F.col("mija").isin(*STRICT) & ~((F.col("mija") == 7) & F.col("variant").endswith("dod"))
-    return rows.join(again, "_id", "left").where(~strict | F.col("_ok")).drop("_id", "_ok")
+    return rows.join(again, key, "left").where(~strict | F.col("_ok")).drop("_degree", "_ok")

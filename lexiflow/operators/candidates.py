@@ -205,7 +205,7 @@ def ranked(readings: DataFrame, cat: Catalog, settings: Settings = Settings()) -
     """readings with cand_idx, score and rank: 0.1 + the ending's frequency + 1000 times the lexeme's, five less for guesses; among
     equals those first whose being a proper noun agrees with the token's capital, then the order of candidates."""
     by = Window.partitionBy("token")
-    rows = readings.withColumn("cand_idx", (F.row_number().over(by.orderBy("tier", F.desc("k"), "ord", "lexeme_id", F.to_json("attrs"))) - 1).cast("int"))
+    rows = readings.withColumn("cand_idx", (F.row_number().over(by.orderBy("tier", F.desc("k"), "ord", "lexeme_id", "lemma")) - 1).cast("int"))
     rows = rows.join((cat.end_freq.withColumnRenamed("n", "_e")), "ending_id", "left").join((cat.lex_freq.withColumnRenamed("n", "_l")), "lexeme_id", "left")
     score = F.lit(0.1) + F.coalesce("_e", F.lit(0)) + 1000 * F.coalesce("_l", F.lit(0)) - F.when(F.col("lexeme_id").isNull(), 5).otherwise(0)
     agrees = ((F.coalesce(F.try_element_at("attrs", F.lit("Lietvārda tips")), F.lit("")) == "Īpašvārds") == _proper()).cast("int")
