@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import bags
 from ..functions.text import fallback_class, first_capital, like_case
 from ..seed import Catalog, Settings
+from ..session import cut
 from .alternation import variants, verified
 
 def suffixes(vocab: DataFrame, longest: int) -> DataFrame:
@@ -54,7 +55,7 @@ def _proper(token: str = "token") -> Column:
     return F.coalesce(first_capital(F.col(token)), F.lit(False))
 
 
-def _split(vocab: DataFrame, cat: Catalog) -> DataFrame:
+def endings_of(vocab: DataFrame, cat: Catalog) -> DataFrame:
     """Every ending of a token with the base stems it may go back to."""
     e = cat.endings.withColumnsRenamed({"attrs": "ending_attrs"})
     m = ending_matches(vocab, e).withColumn("proper", _proper()).withColumn("third_stem", F.lit("")).withColumn("superlative", F.lit(False))
@@ -76,14 +77,14 @@ def _variant_bag() -> Column:
 _READING = ["token", "tier", "lexeme_id", "ending_id", "paradigm_id", "language", "lemma", "attrs", "k", "ord"]
 
 
-def lexicon_readings(vocab: DataFrame, cat: Catalog) -> DataFrame:
-    """Readings by lexicon, hardcoded forms first."""
+def lexicon_readings(vocab: DataFrame, cat: Catalog, split: DataFrame | None = None) -> DataFrame:
+    """Readings by lexicon, hardcoded forms first. split: endings_of(vocab, cat), where the caller has it."""
     s = stems(cat)
     hard = s.where("stem_type = 1 AND paradigm_name = 'hardcoded'")
     none = F.create_map().cast("map<string,string>")
     own = vocab.select("token", F.lower("token").alias("low")).join((hard), F.col("low") == F.col("base_stem"))
     fixed = own.select("token", F.lit(0).alias("tier"), "lexeme_id", F.col("lemma_ending_id").alias("ending_id"), "paradigm_id", "language", "lemma", _bag(none, F.col("paradigm_attrs"), F.col("lexeme_attrs"), none).alias("attrs"), F.lit(0).alias("k"), F.lit(0).alias("ord"))
-    split = _split(vocab, cat)
+    split = endings_of(vocab, cat) if split is None else split
     known = s.where("paradigm_name <> 'hardcoded'").withColumnRenamed("base_stem", "variant")
     found = split.join((known), ["language", "paradigm_id", "stem_type", "variant"])
     found = found.withColumn("third_stem", F.coalesce("stem3", "stem"))
@@ -100,25 +101,25 @@ def acceptable(readings: DataFrame, settings: Settings) -> DataFrame:
     return readings.where(~bad & (F.lit(settings.vocative) | (a("Locījums") != "Vokatīvs")))
 
 
-def derived_readings(vocab: DataFrame, cat: Catalog, settings: Settings) -> DataFrame:
+def derived_readings(vocab: DataFrame, cat: Catalog, settings: Settings, split: DataFrame | None = None) -> DataFrame:
     """Diminutives in -iņ- and -īt- of nouns, and agent nouns in -tāj- and -ēj- of verbs, where the paradigm allows them."""
     s = stems(cat)
-    split = _split(vocab, cat)
+    split = endings_of(vocab, cat) if split is None else split
     allowed = (cat.paradigms.select("language", "paradigm_id", F.col("attrs").alias("paradigm_attrs"), F.coalesce(F.try_element_at("attrs", F.lit("Paradigmai atļautie atvasinājumi")), F.lit("")).alias("allowed"), F.col("name").alias("paradigm_name"), "lemma_ending_id"))
     lemma_end = (cat.endings.select("language", "paradigm_id", F.col("ending_id").alias("lemma_ending_id"), F.col("ending").alias("lemma_ending")))
     rows = split.join(allowed, ["language", "paradigm_id"]).join(lemma_end, ["language", "paradigm_id", "lemma_ending_id"], "left")
-    cut = F.expr("left(variant, length(variant) - 2)")
-    soft = F.when(cut.endswith("dz"), F.concat(F.expr("left(variant, length(variant) - 4)"), F.lit("g"))).when(cut.endswith("c"), F.concat(F.expr("left(variant, length(variant) - 3)"), F.lit("k")))
-    dims = F.when(F.col("variant").endswith("īt") & F.col("allowed").contains("Deminutīvs -īt"), F.array(cut))
-    dims = dims.when(F.col("variant").endswith("iņ") & F.col("allowed").contains("Deminutīvs -iņ") & ~((F.col("paradigm_name") == "noun-1b") & cut.rlike("[ļkg]$")), F.array_compact(F.array(cut, soft)))
+    base = F.expr("left(variant, length(variant) - 2)")
+    soft = F.when(base.endswith("dz"), F.concat(F.expr("left(variant, length(variant) - 4)"), F.lit("g"))).when(base.endswith("c"), F.concat(F.expr("left(variant, length(variant) - 3)"), F.lit("k")))
+    dims = F.when(F.col("variant").endswith("īt") & F.col("allowed").contains("Deminutīvs -īt"), F.array(base))
+    dims = dims.when(F.col("variant").endswith("iņ") & F.col("allowed").contains("Deminutīvs -iņ") & ~((F.col("paradigm_name") == "noun-1b") & base.rlike("[ļkg]$")), F.array_compact(F.array(base, soft)))
     out = []
     if settings.diminutives:
-        base = rows.withColumn("base", F.explode(dims)).join((s.select("language", "paradigm_id", "stem_type", F.col("base_stem").alias("base"), "lexeme_id", "lexeme_attrs", F.col("lemma").alias("source_lemma"))), ["language", "paradigm_id", "stem_type", "base"])
+        found = rows.withColumn("base", F.explode(dims)).join((s.select("language", "paradigm_id", "stem_type", F.col("base_stem").alias("base"), "lexeme_id", "lexeme_attrs", F.col("lemma").alias("source_lemma"))), ["language", "paradigm_id", "stem_type", "base"])
         marker = F.expr("right(variant, 2)")
         extra = F.create_map(F.lit("Pamazinājums"), F.concat(F.lit("-"), marker, F.lit("-")), F.lit("Avots"), F.lit("pamazināmo formu atvasināšana"), F.lit("Minējums"), F.lit("Pamazinājums"), F.lit("Avota pamatforma"), F.col("source_lemma"))
         lemma = like_case(F.col("token"), F.concat("base", marker, "lemma_ending"))
         attrs = F.map_concat(_bag(_variant_bag(), F.col("paradigm_attrs"), F.col("lexeme_attrs"), F.col("ending_attrs")), extra, F.create_map(F.lit("Pamatforma"), lemma))
-        out.append(base.select("token", F.lit(2).alias("tier"), "lexeme_id", "ending_id", "paradigm_id", "language", lemma.alias("lemma"), attrs.alias("attrs"), "k", F.col("ending_id").alias("ord")))
+        out.append(found.select("token", F.lit(2).alias("tier"), "lexeme_id", "ending_id", "paradigm_id", "language", lemma.alias("lemma"), attrs.alias("attrs"), "k", F.col("ending_id").alias("ord")))
     if settings.derived_nouns:
         may = rows.where("allowed LIKE '%tājs%' OR allowed LIKE '%ējs%'")
         agent = may.withColumn("verb_stem", F.when(F.col("variant").endswith("tāj"), F.expr("left(variant, length(variant) - 3)")).when(F.col("variant").endswith("ēj"), F.expr("left(variant, length(variant) - 2)"))).withColumn("of", F.when(F.col("variant").endswith("tāj"), F.lit(1)).otherwise(F.lit(3)))
@@ -169,11 +170,12 @@ def pattern_readings(vocab: DataFrame) -> DataFrame:
     return rows.select("token", F.lit(4).alias("tier"), F.lit(None).cast("bigint").alias("lexeme_id"), F.lit(None).cast("int").alias("ending_id"), F.lit(None).cast("int").alias("paradigm_id"), F.lit("lv").alias("language"), F.col("token").alias("lemma"), attrs.alias("attrs"), F.lit(0).alias("k"), F.lit(0).alias("ord"))
 
 
-def ending_guesses(vocab: DataFrame, cat: Catalog, settings: Settings) -> DataFrame:
+def ending_guesses(vocab: DataFrame, cat: Catalog, settings: Settings, split: DataFrame | None = None) -> DataFrame:
     """Readings of unknown words by their longest ending that allows one; a word in -o keeps those of shorter endings as well."""
     p = (cat.paradigms.select("language", "paradigm_id", "name", "allowed_guess_endings", "lemma_ending_id", F.col("attrs").alias("paradigm_attrs")))
     lemma_end = (cat.endings.select("language", "paradigm_id", F.col("ending_id").alias("lemma_ending_id"), F.col("ending").alias("lemma_ending")))
-    rows = _split(vocab, cat).join(p, ["language", "paradigm_id"]).join(lemma_end, ["language", "paradigm_id", "lemma_ending_id"], "left").where("name <> 'hardcoded'")
+    split = endings_of(vocab, cat) if split is None else split
+    rows = split.join(p, ["language", "paradigm_id"]).join(lemma_end, ["language", "paradigm_id", "lemma_ending_id"], "left").where("name <> 'hardcoded'")
     may = F.col("allowed_guess_endings").isNull() | F.expr("instr(allowed_guess_endings, right(variant, 1)) > 0") | (F.col("proper") & F.col("name").isin("noun-4m", "noun-4ma", "noun-3f"))
     lemma = like_case(F.col("token"), F.concat("variant", "lemma_ending"))
     none = F.create_map().cast("map<string,string>")
@@ -217,14 +219,16 @@ def ranked(readings: DataFrame, cat: Catalog, settings: Settings = Settings()) -
 def analyze(vocab: DataFrame, cat: Catalog, settings: Settings = Settings()) -> DataFrame:
     """Ranked readings of distinct tokens (token); rank 1 is best."""
     words = vocab.select("token").where("trim(token) <> ''").distinct()
-    tiers = acceptable(lexicon_readings(words, cat), settings)
+    # three tiers start from the same splits of the words
+    split = cut(endings_of(words, cat))
+    tiers = acceptable(lexicon_readings(words, cat, split), settings)
     if settings.diminutives or settings.derived_nouns:
-        tiers = tiers.unionByName(derived_readings(words, cat, settings))
+        tiers = tiers.unionByName(derived_readings(words, cat, settings, split))
     if settings.prefixes:
         tiers = tiers.unionByName(prefix_readings(words, cat))
     tiers = tiers.unionByName(pattern_readings(words))
     if settings.guessing:
-        tiers = tiers.unionByName(ending_guesses(words, cat, settings))
+        tiers = tiers.unionByName(ending_guesses(words, cat, settings, split))
     # every tier once for all tokens, then one pass over each token's readings decides which tiers count
     by = Window.partitionBy("token")
     a = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))

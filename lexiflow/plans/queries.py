@@ -534,5 +534,5 @@ def ranked_vocabulary(spark, d):
     """The flagship: ranked readings of every distinct token of documents, with their tags."""
     cat = seed.catalog(spark)
     v = tok.tokens(read(spark, d, "documents")).select("token").distinct()
-    r = candidates.analyze(v, cat, seed.Settings(guessing=True)).withColumn("id", F.concat_ws("\t", "token", F.col("cand_idx").cast("string")))
+    r = cut(candidates.analyze(v, cat, seed.Settings(guessing=True)).withColumn("id", F.concat_ws("\t", "token", F.col("cand_idx").cast("string"))))
     return r.join(tags.to_tag(r, cat.tag_values), "id").select("token", "rank", "lemma", "tag", "score", bags.to_json(F.col("attrs")).alias("attrs"))
