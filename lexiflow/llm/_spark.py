@@ -41,7 +41,19 @@ def rewritten(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package wherever the session was started; on a cluster the package has to
+    be installed or sent along."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; also makes the package importable for the workers."""
+    reach(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
