@@ -1,8 +1,8 @@
 """Operator 8: toxicity by weak supervision.
 
 Voters. A built-in list of common English insults makes two lexicon voters. Further lexicons are mined, for whatever
-languages the table holds, from a bounded sample of labelled rows: words, and word beginnings of 4 to 8 bytes, whose
-presence is far likelier in toxic rows than chance allows. Mined words make four voters, beginnings two pattern voters;
+languages the table holds, from all labelled rows: words, and word beginnings of 4 to 8 bytes, whose presence is far likelier
+in toxic rows than chance allows. Mined words make four voters, beginnings two pattern voters;
 two more vote on how many different hits a text has and on their density, and one votes clean where nothing was hit.
 
 Label model. Over the vote patterns of *all* documents a generative model P(y) prod P(vote | y, its parent's vote) is
@@ -13,8 +13,11 @@ distinct vote patterns (at most 2 ** voters) reach the driver.
 Classifier. Logistic regression on the voters' counts and hashed hit words is trained on posterior labels of a bounded
 sample and scores every document.
 
-Bounds: about max_labelled labelled rows for the lexicons and about max_train rows for the classifier, by a share of the hash
-range. Everything else covers all rows.
+Bound: about max_train rows for the classifier, by a share of the hash range. Everything else covers all rows.
+
+Cost at scale. Of the labelled rows, found by a bitmap of fixed size before any shuffle, the texts are shuffled once, to their labels.
+Words are counted within each partition and then by word; beginnings are summed from the counts of the words that begin so. Only
+telling words and beginnings reach the driver.
 
 Defined results: null and empty texts have no hits and are not toxic. Labels that are null or belong to no document are
 ignored; of several labels for a doc_id the largest counts; a null doc_id has no label. Equal texts get equal scores.
@@ -36,7 +39,9 @@ from . import _bytes as B
 from ._spark import cut, table
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "disgusting", "pathetic", "clown", "dumb", "imbecile", "filthy", "vermin", "subhuman", "retard", "bastard")
-MAX_LABELLED, MAX_TRAIN, SIZES, HASHED = 10_000, 20_000, range(4, 9), 64
+MAX_TRAIN, SIZES, HASHED = 20_000, range(4, 9), 64
+#: Min-hashes of a labelled row; words of 64 bits in the bitmap of labelled ids; words that a partition counts before it sends them on.
+MIN_HASHES, BITMAP, HELD = 4, 2**19, 2**20
 VOTERS = ("insults_a", "insults_b", "mined_0", "mined_1", "mined_2", "mined_3", "beginning", "two_beginnings", "two_hits", "density", "clean")
 
 
@@ -91,64 +96,95 @@ def hits(texts: pa.Array, lexicon: Lexicon) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in names}
 
 
-def _telling(h: np.ndarray, toxic: np.ndarray, cost: float) -> np.ndarray:
-    """Hashes (one entry for each text it is in) that are far likelier in toxic texts: the log likelihood ratio of a share
-    of 0.99 against the base rate has to pay for as many tries as there are hashes, and 95 % of the texts (or all but one) be toxic."""
-    if not len(h):
-        return h
-    keys, at = np.unique(h, return_inverse=True)
-    yes = np.bincount(at, weights=toxic)
-    no = np.bincount(at) - yes
-    base = min(max(toxic.mean(), 1e-3), 0.5)
-    gain = yes * np.log(0.99 / base) + no * np.log(0.01 / (1 - base))
-    return keys[(gain >= np.log(len(keys)) + cost) & (yes >= 3) & (no <= np.maximum(1, 0.05 * yes))]
-
-
-def mine(texts: pa.Array, toxic: np.ndarray) -> Lexicon:
-    """Mined lexicons of labelled texts. Texts that share one of four min-hashes with an earlier one are left out: copies
-    of one toxic text would make its common words look telling."""
-    found = Lexicon()
-    seen: set[int] = set()
-    words: list[tuple[np.ndarray, np.ndarray]] = []
-    begun: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {s: [] for s in SIZES}
-    for at, part in B.pieces(texts):
-        w = B.Words(part)
-        doc, g, _ = B.shingles(w)
-        keep = np.zeros(w.n, dtype=bool)
-        if len(doc):
-            starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            low = [np.minimum.reduceat(B.mix(g ^ np.uint64(0x9E37 * (j + 1))), starts) for j in range(4)]
-            for d, *values in zip(doc[starts].tolist(), *(x.tolist() for x in low)):
-                keys = {(v << 2) | j for j, v in enumerate(values)}
-                keep[d] = not keys & seen
-                seen |= keys
-        y = toxic[at : at + w.n]
-        one = keep[w.doc]
-        pair = np.unique(np.stack((w.doc[one].astype(np.uint64), w.hash[one])), axis=1) if one.any() else np.zeros((2, 0), np.uint64)
-        words.append((pair[1], y[pair[0].astype(np.int64)]))
-        for s in SIZES:
-            i, h = w.prefixes(s)
-            i, h = i[keep[w.doc[i]]], h[keep[w.doc[i]]]
-            # a beginning counts once for each text and each different word; a full stop of a UTF-8 letter is not asked for
-            triple = np.unique(np.stack((w.doc[i].astype(np.uint64), h, w.hash[i])), axis=1) if len(i) else np.zeros((3, 0), np.uint64)
-            begun[s].append((triple[1], triple[2], y[triple[0].astype(np.int64)]))
-    if not words:
-        return found
-    found.words = np.setdiff1d(_telling(np.concatenate([a for a, _ in words]), np.concatenate([b for _, b in words]), np.log(10)), found.insults)
-    for s in SIZES:
-        h, word, y = (np.concatenate(x) for x in zip(*begun[s]))
-        good = _telling(h, y, np.log(10))
-        if len(good):
-            # several different words have to begin so, else the word itself is what tells
-            pair = np.unique(np.stack((h, word))[:, _within(h, good)], axis=1)
-            keys, n = np.unique(pair[0], return_counts=True)
-            found.beginnings[s] = np.sort(keys[n >= 3])
-    return found
-
-
-def _pack(lexicon: Lexicon) -> pa.RecordBatch:
-    kinds = [(0, lexicon.words), *lexicon.beginnings.items()]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(h), k) for k, h in kinds]), pa.int32()), pa.array(np.concatenate([h for _, h in kinds]).view(np.int64), pa.int64())], names=["size", "hash"])
+def _telling(keys: int, toxic: float, clean: float, cost: float) -> Column:
+    """Whether a hash (yes toxic and no clean texts) is far likelier in toxic texts: the log likelihood ratio of a share of 0.99
+    against the base rate has to pay for as many tries as there are hashes, and 95 % of the texts (or all but one) be toxic."""
+    base = min(max(toxic / max(toxic + clean, 1e-9), 1e-3), 0.5)
+    gain = F.col("yes") * float(np.log(0.99 / base)) + F.col("no") * float(np.log(0.01 / (1 - base)))
+    return (gain >= float(np.log(max(keys, 1)) + cost)) & (F.col("yes") >= 3) & (F.col("no") <= F.greatest(F.lit(1.0), 0.05 * F.col("yes")))
+
+
+def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text, hash (of the text) of the rows that may have a label: those whose bit is set in a bitmap of the labelled ids."""
+    bit = "shiftleft(1L, cast(xxhash64(doc_id) & 63 AS int))"
+    slot = f"pmod(shiftright(xxhash64(doc_id), 6), {BITMAP})"
+    bitmap = known.groupBy(F.expr(slot).alias("slot")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return rows.withColumn("slot", F.expr(slot)).join(F.broadcast(bitmap), "slot").where(f"bits & {bit} != 0").select("doc_id", "text", F.xxhash64("text").alias("hash"))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, hash and min-hashes of the rows that have words."""
+    for b in batches:
+        for at, part in B.pieces(b.column("text")):
+            doc, g, _ = B.shingles(B.Words(part))
+            if len(doc):
+                starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+                low = np.stack([np.minimum.reduceat(B.mix(g ^ np.uint64(0x9E37 * (j + 1))), starts) for j in range(MIN_HASHES)], axis=1)
+                rows = pa.array(doc[starts] + at)
+                flat = pa.array(low.ravel().view(np.int64), pa.int64())
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, MIN_HASHES), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("hash").take(rows), sketch], names=["doc_id", "hash", "sketch"])
+
+
+def _without_copies(near: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, hash, y, n (equal rows) of the labelled rows that share none of their min-hashes with an earlier one: copies of one
+    toxic text would make its common words look telling."""
+    sketched = near.mapInArrow(_sketches, "doc_id bigint, hash bigint, sketch array<bigint>").join(known, "doc_id")
+    rows = cut(sketched.groupBy("doc_id", "hash", "y").agg(F.count("*").alias("n"), F.min("sketch").alias("sketch")))
+    keys = rows.select("doc_id", "hash", F.posexplode("sketch").alias("band", "key"))
+    first = keys.groupBy("band", "key").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    later = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.hash") != F.col("hash"))
+    copies = keys.join(first, ["band", "key"]).where(later).select("doc_id", "hash").distinct()
+    return rows.join(copies, ["doc_id", "hash"], "left_anti").select("doc_id", "hash", "y", "n")
+
+
+def _merged(held: list[np.ndarray]) -> np.ndarray:
+    """Rows of word, beginnings by size (0: the word is shorter), and in 2 ** -20ths its toxic and clean texts, summed by word."""
+    all_ = np.concatenate(held)
+    order = np.argsort(all_[:, 0], kind="stable")
+    all_ = all_[order]
+    starts = np.flatnonzero(np.concatenate(([True], all_[1:, 0] != all_[:-1, 0])))
+    out = all_[starts]
+    out[:, -2:] = np.add.reduceat(all_[:, -2:], starts, axis=0)
+    return out
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each word the beginnings and the numbers of toxic and clean texts, from (text, y, n); a row that is there n times counts as 1 / n."""
+    held: list[np.ndarray] = []
+
+    def packed(x: np.ndarray) -> pa.RecordBatch:
+        begun = [pa.array(x[:, i].view(np.int64), pa.int64(), mask=x[:, i] == 0) for i in range(1, len(SIZES) + 1)]
+        sums = [pa.array(x[:, i].astype(np.float64) / 2**20, pa.float64()) for i in (-2, -1)]
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64), pa.int64()), *begun, *sums], names=["word", *(f"b{s}" for s in SIZES), "yes", "no"])
+
+    for b in batches:
+        y, n = b.column("y").to_numpy() > 0, b.column("n").to_numpy()
+        share = np.round(2**20 / n).astype(np.uint64)
+        for at, part in B.pieces(b.column("text")):
+            w = B.Words(part)
+            if not len(w.hash):
+                continue
+            order = np.lexsort((w.hash, w.doc))
+            d, h = w.doc[order], w.hash[order]
+            new = np.ones(len(d), dtype=bool)
+            new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+            i = order[new]
+            x = np.zeros((len(i), len(SIZES) + 3), dtype=np.uint64)
+            x[:, 0] = w.hash[i]
+            for j, s in enumerate(SIZES, 1):
+                long = w.end[i] - w.start[i] >= s
+                x[long, j] = B.span_hash(w.p, w.start[i[long]], w.start[i[long]] + s)
+            rows = w.doc[i] + at
+            x[:, -2], x[:, -1] = np.where(y[rows], share[rows], 0), np.where(y[rows], 0, share[rows])
+            held.append(_merged([x]))
+            if sum(map(len, held)) >= HELD:
+                held = [_merged(held)]
+                if len(held[0]) >= HELD // 2:
+                    yield packed(held.pop())
+    if held:
+        yield packed(_merged(held))
 
 
 def _share(hashed: Column, most: int, of: int) -> Column:
@@ -157,26 +193,29 @@ def _share(hashed: Column, most: int, of: int) -> Column:
     return F.pmod(hashed, F.lit(2**30)) < int(2**30 * min(1.0, most / max(of, 1)))
 
 
-def mined_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
-    """The lexicons of at most max_labelled labelled rows, mined in one task on an executor."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    bounded = known.where(_share(F.xxhash64("doc_id", F.lit("label")), max_labelled, known.count()))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(bounded), "doc_id").select("doc_id", "text", F.col("_toxic").cast("int").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("y", pa.int32())]))
-        if t.num_rows:
-            t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-            yield _pack(mine(t["text"].combine_chunks(), (t["y"].to_numpy() > 0).astype(float)))
-
-    got = rows.select(F.col("doc_id").cast("long"), "text", "y").repartition(1).mapInArrow(run, "size int, hash bigint").collect()
+def mined_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
+    """The lexicons mined from all labelled rows."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
+    near = _labelled(docs, known)
+    rows = near.join(_without_copies(near, known), ["doc_id", "hash"]).select("text", "y", "n")
+    begun = [f"b{s}" for s in SIZES]
+    counted = rows.mapInArrow(_counts, f"word bigint, {', '.join(f'{b} bigint' for b in begun)}, yes double, no double")
+    words = counted.groupBy("word").agg(*[F.min(b).alias(b) for b in begun], F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    # a beginning counts once for each text and each different word; a full stop of a UTF-8 letter is not asked for
+    cells = F.explode(F.array(*[F.struct(F.lit(size).alias("size"), F.col(c).alias("hash")) for size, c in zip((0, *SIZES), ("word", *begun))]))
+    by = words.select(cells.alias("cell"), "yes", "no").where("cell.hash IS NOT NULL").groupBy("cell.size", "cell.hash")
+    sums = cut(by.agg(F.count("*").alias("words"), *[F.round(F.sum(c), 3).alias(c) for c in ("yes", "no")]))
     found = Lexicon()
-    for size in {r[0] for r in got}:
-        h = np.sort(np.array([r[1] for r in got if r[0] == size], dtype=np.int64).view(np.uint64))
-        if size:
-            found.beginnings[size] = h
+    for r in sums.groupBy("size").agg(F.count("*").alias("keys"), F.sum("yes").alias("yes"), F.sum("no").alias("no")).orderBy("size").collect():
+        good = sums.where((F.col("size") == r["size"]) & _telling(r["keys"], r["yes"], r["no"], np.log(10)))
+        if r["size"]:
+            # several different words have to begin so, else the word itself is what tells
+            good = good.where("words >= 3")
+        h = np.sort(np.array([x["hash"] for x in good.select("hash").collect()], dtype=np.int64).view(np.uint64))
+        if r["size"]:
+            found.beginnings[r["size"]] = h
         else:
-            found.words = h
+            found.words = np.setdiff1d(h, found.insults)
     return found
 
 
@@ -304,9 +343,9 @@ class Model:
     weights: np.ndarray
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_train: int = MAX_TRAIN) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Model, DataFrame]:
     """The model, and (doc_id, hits) of all rows."""
-    lexicon = mined_lexicon(docs, labels, max_labelled)
+    lexicon = mined_lexicon(docs, labels)
     seen = cut(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), _extract(lexicon)("text").alias("hits")))
     votes = seen.groupBy("hits.pattern").count().orderBy("pattern").collect()
     patterns, counts = np.array([r[0] for r in votes] or [1 << (len(VOTERS) - 1)], dtype=np.int64), np.array([r[1] for r in votes] or [1])
@@ -319,9 +358,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     return Model(lexicon, model, fit_classifier(_design(got), p) if len(p) else np.zeros(7 + HASHED)), seen
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
     """doc_id, score (the classifier's probability), toxic (score >= threshold), for each row of docs."""
-    model, seen = fit(docs, labels, max_labelled, max_train)
+    model, seen = fit(docs, labels, max_train)
     weights = model.weights
 
     @F.arrow_udf("double")
@@ -332,9 +371,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     return seen.select("doc_id", score("hits").alias("score")).withColumn("toxic", F.col("score") >= threshold)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are not toxic, with all their columns. Nothing is shuffled: the model goes to the rows."""
-    model, _ = fit(docs, labels, max_labelled, max_train)
+    model, _ = fit(docs, labels, max_train)
     lexicon, weights = model.lexicon, model.weights
 
     @F.arrow_udf("boolean")
