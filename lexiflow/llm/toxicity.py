@@ -15,6 +15,10 @@ sample and scores every document.
 
 Bound: about max_train rows for the classifier, by a share of the hash range. Everything else covers all rows.
 
+Copies of one toxic text would make its common words look telling, so a labelled text counts once, and not at all if more than half of
+its min-hashes are those of an earlier text of the same label. A text is compared with at most BANDS others, so texts that only share
+passages, or look like texts of the other label, stay however many there are.
+
 Cost at scale. Of the labelled rows, found by a bitmap of fixed size before any shuffle, the texts are shuffled once, to their labels.
 Words are counted within each partition and then by word; beginnings are summed from the counts of the words that begin so. Only
 telling words and beginnings reach the driver.
@@ -40,8 +44,8 @@ from ._spark import cut, table
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "disgusting", "pathetic", "clown", "dumb", "imbecile", "filthy", "vermin", "subhuman", "retard", "bastard")
 MAX_TRAIN, SIZES, HASHED = 20_000, range(4, 9), 64
-#: Min-hashes of a labelled row; words of 64 bits in the bitmap of labelled ids; words that a partition counts before it sends them on.
-MIN_HASHES, BITMAP, HELD = 4, 2**19, 2**20
+#: Bands of three min-hashes of a labelled text; words of 64 bits in the bitmap of labelled ids; words that a partition counts before it sends them on.
+BANDS, BITMAP, HELD = 8, 2**19, 2**20
 VOTERS = ("insults_a", "insults_b", "mined_0", "mined_1", "mined_2", "mined_3", "beginning", "two_beginnings", "two_hits", "density", "clean")
 
 
@@ -120,71 +124,72 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, g, _ = B.shingles(B.Words(part))
             if len(doc):
                 starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                low = np.stack([np.minimum.reduceat(B.mix(g ^ np.uint64(0x9E37 * (j + 1))), starts) for j in range(MIN_HASHES)], axis=1)
+                low = np.stack([np.minimum.reduceat(B.mix(g ^ np.uint64(0x9E37 * (j + 1))), starts) for j in range(3 * BANDS)], axis=1)
                 rows = pa.array(doc[starts] + at)
-                flat = pa.array(low.ravel().view(np.int64), pa.int64())
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, MIN_HASHES), pa.int32()), flat)
+                flat = pa.array((low.ravel() >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32())
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3 * BANDS), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("hash").take(rows), sketch], names=["doc_id", "hash", "sketch"])
 
 
 def _without_copies(near: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, hash, y, n (equal rows) of the labelled rows that share none of their min-hashes with an earlier one: copies of one
-    toxic text would make its common words look telling."""
-    sketched = near.mapInArrow(_sketches, "doc_id bigint, hash bigint, sketch array<bigint>").join(known, "doc_id")
-    rows = cut(sketched.groupBy("doc_id", "hash", "y").agg(F.count("*").alias("n"), F.min("sketch").alias("sketch")))
-    keys = rows.select("doc_id", "hash", F.posexplode("sketch").alias("band", "key"))
-    first = keys.groupBy("band", "key").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
-    later = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.hash") != F.col("hash"))
-    copies = keys.join(first, ["band", "key"]).where(later).select("doc_id", "hash").distinct()
-    return rows.join(copies, ["doc_id", "hash"], "left_anti").select("doc_id", "hash", "y", "n")
-
-
-def _merged(held: list[np.ndarray]) -> np.ndarray:
-    """Rows of word, beginnings by size (0: the word is shorter), and in 2 ** -20ths its toxic and clean texts, summed by word."""
-    all_ = np.concatenate(held)
-    order = np.argsort(all_[:, 0], kind="stable")
-    all_ = all_[order]
-    starts = np.flatnonzero(np.concatenate(([True], all_[1:, 0] != all_[:-1, 0])))
-    out = all_[starts]
-    out[:, -2:] = np.add.reduceat(all_[:, -2:], starts, axis=0)
-    return out
+    """doc_id, hash, y, n (equal rows) of the labelled texts of which no earlier one of the same label is a near copy."""
+    sketched = near.mapInArrow(_sketches, "doc_id bigint, hash bigint, sketch array<int>").join(known, "doc_id")
+    same = sketched.groupBy("doc_id", "hash", "y").agg(F.count("*").alias("n"), F.min("sketch").alias("sketch"))
+    rows = cut(same.groupBy("hash", "y").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x")).select("x.doc_id", "hash", "y", "x.n", "x.sketch"))
+    bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.slice("sketch", 3 * i + 1, 3)) for i in range(BANDS)]))
+    keys = rows.select("doc_id", "hash", "y", bands.alias("key"))
+    first = keys.groupBy("y", "key").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    pairs = keys.join(first, ["y", "key"]).select("hash", "y", F.col("first.hash").alias("earlier")).where("hash <> earlier").distinct()
+    sketches = rows.select(F.col("hash").alias("earlier"), "y", F.col("sketch").alias("theirs"))
+    agree = F.size(F.filter(F.zip_with("sketch", "theirs", lambda a, b: a == b), lambda x: x))
+    copies = pairs.join(rows.select("hash", "y", "sketch"), ["hash", "y"]).join(sketches, ["earlier", "y"]).where(2 * agree > 3 * BANDS).select("hash", "y").distinct()
+    return rows.join(copies, ["hash", "y"], "left_anti").select("doc_id", "hash", "y", "n")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each word the beginnings and the numbers of toxic and clean texts, from (text, y, n); a row that is there n times counts as 1 / n."""
-    held: list[np.ndarray] = []
+    """The numbers of toxic and clean texts of each word, from (text, y, n); a row that is there n times counts as 1 / n."""
+    held: list[pa.Table] = []
 
-    def packed(x: np.ndarray) -> pa.RecordBatch:
-        begun = [pa.array(x[:, i].view(np.int64), pa.int64(), mask=x[:, i] == 0) for i in range(1, len(SIZES) + 1)]
-        sums = [pa.array(x[:, i].astype(np.float64) / 2**20, pa.float64()) for i in (-2, -1)]
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64), pa.int64()), *begun, *sums], names=["word", *(f"b{s}" for s in SIZES), "yes", "no"])
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("yes", "sum"), ("no", "sum")]).rename_columns(["word", "yes", "no"])
 
     for b in batches:
-        y, n = b.column("y").to_numpy() > 0, b.column("n").to_numpy()
-        share = np.round(2**20 / n).astype(np.uint64)
+        y, share = b.column("y").to_numpy() > 0, 1 / b.column("n").to_numpy()
         for at, part in B.pieces(b.column("text")):
             w = B.Words(part)
             if not len(w.hash):
                 continue
-            order = np.lexsort((w.hash, w.doc))
+            order = np.lexsort((w.doc, w.hash))
             d, h = w.doc[order], w.hash[order]
-            new = np.ones(len(d), dtype=bool)
-            new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-            i = order[new]
-            x = np.zeros((len(i), len(SIZES) + 3), dtype=np.uint64)
-            x[:, 0] = w.hash[i]
-            for j, s in enumerate(SIZES, 1):
-                long = w.end[i] - w.start[i] >= s
-                x[long, j] = B.span_hash(w.p, w.start[i[long]], w.start[i[long]] + s)
-            rows = w.doc[i] + at
-            x[:, -2], x[:, -1] = np.where(y[rows], share[rows], 0), np.where(y[rows], 0, share[rows])
-            held.append(_merged([x]))
+            word = np.concatenate(([True], h[1:] != h[:-1]))
+            new = word.copy()
+            new[1:] |= d[1:] != d[:-1]
+            of, rows = (np.cumsum(word) - 1)[new], d[new] + at
+            i = order[word]
+            size = w.end[i] - w.start[i]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            spelt = w.data[np.arange(ends[-1]) + np.repeat(w.start[i] - ends[:-1], size)]
+            words = pa.StringArray.from_buffers(len(i), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(spelt))
+            yes, no = (np.bincount(of, share[rows] * x[rows], len(i)) for x in (y, ~y))
+            held.append(pa.table({"word": words, "yes": yes, "no": no}))
             if sum(map(len, held)) >= HELD:
-                held = [_merged(held)]
+                held = [merged()]
                 if len(held[0]) >= HELD // 2:
-                    yield packed(held.pop())
+                    yield from held.pop().to_batches()
     if held:
-        yield packed(_merged(held))
+        yield from merged().to_batches()
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """size, hash, yes, no of each word (size 0) and of its beginnings."""
+    for b in batches:
+        yes, no = b.column("yes").to_numpy(), b.column("no").to_numpy()
+        for at, part in B.pieces(b.column("word")):
+            w = B.Words(part)
+            for size in (0, *SIZES):
+                i, h = w.prefixes(size) if size else (np.arange(len(w.hash)), w.hash)
+                rows = w.doc[i] + at
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), size), pa.int32()), pa.array(h.view(np.int64), pa.int64()), pa.array(yes[rows]), pa.array(no[rows])], names=["size", "hash", "yes", "no"])
 
 
 def _share(hashed: Column, most: int, of: int) -> Column:
@@ -198,12 +203,9 @@ def mined_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     near = _labelled(docs, known)
     rows = near.join(_without_copies(near, known), ["doc_id", "hash"]).select("text", "y", "n")
-    begun = [f"b{s}" for s in SIZES]
-    counted = rows.mapInArrow(_counts, f"word bigint, {', '.join(f'{b} bigint' for b in begun)}, yes double, no double")
-    words = counted.groupBy("word").agg(*[F.min(b).alias(b) for b in begun], F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    words = rows.mapInArrow(_counts, "word string, yes double, no double").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     # a beginning counts once for each text and each different word; a full stop of a UTF-8 letter is not asked for
-    cells = F.explode(F.array(*[F.struct(F.lit(size).alias("size"), F.col(c).alias("hash")) for size, c in zip((0, *SIZES), ("word", *begun))]))
-    by = words.select(cells.alias("cell"), "yes", "no").where("cell.hash IS NOT NULL").groupBy("cell.size", "cell.hash")
+    by = words.mapInArrow(_spread, "size int, hash bigint, yes double, no double").groupBy("size", "hash")
     sums = cut(by.agg(F.count("*").alias("words"), *[F.round(F.sum(c), 3).alias(c) for c in ("yes", "no")]))
     found = Lexicon()
     for r in sums.groupBy("size").agg(F.count("*").alias("keys"), F.sum("yes").alias("yes"), F.sum("no").alias("no")).orderBy("size").collect():

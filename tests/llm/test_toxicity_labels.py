@@ -27,3 +27,22 @@ def test_rare_toxic_words_among_many_labels(spark):
             at = 3571 * (k + 1) + 17 * i
             rows[at] = (rows[at][0] + " " + word, 1)
     assert found(toxicity.mined_lexicon(*frames(spark, rows)), rare) == set(rare)
+
+
+def test_clean_look_alikes_do_not_remove_toxic_texts(spark):
+    rng = np.random.default_rng(2)
+    rare = [f"{c}lobivec" for c in "abcd"]
+    clean = [" ".join(prose(rng, 5)) for _ in range(400)]
+    passage = " ".join(prose(rng, 3))  # in every toxic text, and in some clean ones
+    rows = [(t if i % 8 else f"{t} {passage}", 0) for i, t in enumerate(clean)]
+    rows += [(f"{clean[7 * i + 1]} {rare[i % 4]} {passage}", 1) for i in range(32)]
+    assert found(toxicity.mined_lexicon(*frames(spark, rows)), rare) == set(rare)
+
+
+def test_copies_of_a_toxic_text_count_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(" ".join(prose(rng, 5)), 0) for _ in range(400)]
+    text = " ".join(f"common{i}" for i in range(80)).split()
+    copies = [(" ".join(text[:i] + [f"other{i}"] + text[i + 1 :]), 1) for i in range(0, 80, 2)] + [(" ".join(text), 1)] * 5
+    toxic = [(" ".join(prose(rng, 5)) + " zlobivec", 1) for _ in range(4)]
+    assert found(toxicity.mined_lexicon(*frames(spark, rows + copies + toxic)), [*text, "zlobivec"]) == {"zlobivec"}
