@@ -7,8 +7,8 @@ cell's group of queries. A group's work is cut further, by slices of queries and
 whole group; the local top-k lists are then merged. Nothing is approximate.
 
 Defined results: distance is Euclidean, in double precision, rounded to 7 decimals; neighbours are ordered by it and then by vec_id.
-A vector with a null id, with no values, with a null or non-finite value, or of another dimension than most vectors have (of several
-the larger) neither asks nor answers. A vector isn't a neighbour of rows with its own vec_id; rows with equal vec_id and equal
+A vector with a null id, with no values, or with a null or non-finite value neither asks nor answers. Vectors are neighbours of those of
+their own dimension; the join runs once for each dimension. A vector isn't a neighbour of rows with its own vec_id; rows with equal vec_id and equal
 vector count once, rows with equal vec_id and other vectors are all data, and a query is then answered from its nearest one
 to each neighbour. With fewer than k others there are fewer neighbours. Further columns of any name are ignored. An empty table
 gives an empty result.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +90,17 @@ def neighbours(vectors: DataFrame, k: int = K, pivots: int | None = None, groups
     schema = "vec_id bigint, neighbour_id bigint, rank int, distance double"
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & finite)
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
+    sizes = rows.groupBy(F.size("v").alias("dim")).count().where("count > 1").orderBy("dim").collect()
     if not sizes:
         return vectors.sparkSession.createDataFrame([], schema)
-    dim, total = sizes[0]["dim"], sizes[0]["count"]
-    rows = rows.where(F.size("v") == dim).distinct()
+    lists = [_lists(rows.where(F.size("v") == r["dim"]).distinct(), r["dim"], r["count"], k, pivots, groups) for r in sizes]
+    best = reduce(DataFrame.unionByName, lists).groupBy("a", "b").agg(F.min("d").alias("d"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "rank", F.col("d").alias("distance"))
+
+
+def _lists(rows: DataFrame, dim: int, total: int, k: int, pivots: int | None, groups: int) -> DataFrame:
+    """a, b, d: lists of near vectors b of each vector a among rows (id, v) of one dimension, the k nearest at least."""
     wanted = pivots or max(1, min(MOST_PIVOTS, round(math.sqrt(total) / 2)))
     # about `wanted` pivots by a share of the hash range; only they reach the driver
     share = min(1.0, 4 * wanted / total)
@@ -162,10 +169,7 @@ def neighbours(vectors: DataFrame, k: int = K, pivots: int | None = None, groups
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g), pa.int32()), pa.array(np.concatenate(part), pa.int32()), pa.array(np.concatenate(slab), pa.int32()), pa.array(np.concatenate(asks)), b.column("id").take(pa.array(i)), b.column("v").take(pa.array(i))], names=["g", "part", "slab", "asks", "id", "v"])
 
     sent = placed.mapInArrow(spread, "g int, part int, slab int, asks boolean, id bigint, v array<double>")
-    lists = sent.groupBy("g", "part", "slab").applyInArrow(_local(k, dim), "a bigint, b bigint, d double")
-    best = lists.groupBy("a", "b").agg(F.min("d").alias("d"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "rank", F.col("d").alias("distance"))
+    return sent.groupBy("g", "part", "slab").applyInArrow(_local(k, dim), "a bigint, b bigint, d double")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
