@@ -26,7 +26,7 @@ def case_style(token: Column) -> Column:
 
 def like_case(token: Column, form: Column) -> Column:
     """The form with a first capital where the token has one."""
-    return F.when(first_capital(token), F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, 2, 10_000))).otherwise(form)
+    return F.when(first_capital(token), F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, F.lit(2), F.length(form)))).otherwise(form)
 
 
 def syllables(word: Column) -> Column:
