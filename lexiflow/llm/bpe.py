@@ -1,17 +1,19 @@
 """Operator 3: byte-level BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut where a rolling hash of the last 48 bytes says so, so a passage that several texts share is cut alike in all of
-them. The chunks' digests are counted over the whole table; a chunk found in two or more different texts is encoded once, in one
-text that holds it, and its tokens travel to the others. What lies between shared chunks is encoded in place. A
+them. The chunks' digests (128 bits of their bytes) are counted over the whole table; a chunk found in two or more different texts is
+encoded once, in one text that holds it, and its tokens travel to the others. What lies between shared chunks is encoded in place. A
 seam between two encoded pieces is repaired: the stretch from the last sure boundary of the left piece to the first of the
 right one is encoded anew, and widened until its outer boundaries agree with the tokens on both sides. A sure boundary is the
 place before a space that follows a non-space: no token of the pattern crosses it, whatever stands around. So the result is
-exactly that of encoding the whole text.
+exactly that of encoding the whole text. Should two different chunks ever have one digest, the tokens don't decode to the text; such a
+text is encoded whole.
 
 Equal texts meet in one task and are encoded once.
 
-Cost at scale. Digests, not texts, are counted; the texts are shuffled once, compressed (the exchange is used by both the join
-that encodes shared chunks and the one that assembles the texts).
+Cost at scale. Digests, not texts, are counted, and within each partition first, so a passage that every document holds costs its
+task one row a partition; what it owns is joined back to the digests, where a hot one may be split. The texts are shuffled once,
+compressed (the exchange is used by both the join that encodes shared chunks and the one that assembles the texts).
 
 Defined results: a null text has null tokens and a null round trip; an empty text has no tokens. Rows keep their doc_id and
 come once each, repeated ones too. Further columns of any name are ignored. An empty table gives an empty result. The vocabulary
@@ -28,8 +30,9 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,16 +83,19 @@ def cuts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def digest(chunk: bytes | memoryview) -> bytes:
+    return xxhash.xxh3_128_digest(chunk)
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
     """(row, ends, digests of the chunks) of every text that has any."""
     for at, part in B.pieces(texts):
         data, off = B.view(part)
-        p = B.prefix_hash(data)
+        raw = memoryview(data)
         for i, ends in enumerate(cuts(data, off)):
             if len(ends):
-                starts = np.concatenate(([0], ends[:-1]))
-                # the length enters, so that a digest stands for as many bytes
-                yield at + i, ends, B.mix(B.span_hash(p, off[i] + starts, off[i] + ends) ^ ((ends - starts).astype(np.uint64) << np.uint64(40))).view(np.int64)
+                bounds = [int(off[i]), *(ends + off[i]).tolist()]
+                yield at + i, ends, [digest(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
 def _seams(data: bytes, ends: list[int], size: int) -> list[tuple[int, int]]:
@@ -152,6 +158,8 @@ class Encoder:
         else:
             seams = seams[:-1]
         tokens = np.concatenate(parts)
+        if self.lengths[tokens].sum() != len(data):  # a chunk's tokens are those of another
+            return self.plain(data)
         return self.repair(data, tokens, seams)
 
     def repair(self, data: bytes, tokens: np.ndarray, seams: list[int]) -> np.ndarray:
@@ -194,12 +202,12 @@ def _squeezed(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else z.compress(t.as_buffer()) for t in (x if x.is_valid else None for x in texts)], pa.binary())
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
 def _digests(texts: pa.Array) -> pa.Array:
-    out: list[list[int]] = [[]] * len(texts)
+    out: list[list[bytes]] = [[]] * len(texts)
     for row, _, h in chunks(texts):
-        out[row] = np.unique(h)
-    return pa.array(out, pa.list_(pa.int64()))
+        out[row] = list(set(h))
+    return pa.array(out, pa.list_(pa.binary()))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -215,7 +223,7 @@ def _encode_shared(path: str):
         last = None
         for batch in batches:
             keys, wanted = batch.column("node"), batch.column("wanted")
-            got: dict[int, bytes] = {}
+            got: dict[bytes, bytes] = {}
             for i, data in _texts(batch):
                 if keys[i].as_py() == last:
                     continue
@@ -223,10 +231,10 @@ def _encode_shared(path: str):
                 want = set(wanted[i].as_py())
                 for _, ends, h in chunks(pa.array([data.decode()])):
                     starts = np.concatenate(([0], ends[:-1])).tolist()
-                    for s, e, x in zip(starts, ends.tolist(), h.tolist()):
+                    for s, e, x in zip(starts, ends.tolist(), h):
                         if x in want and x not in got:
                             got[x] = _packed(enc.plain(data[s:e]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["digest", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.binary())], names=["digest", "tokens"])
 
     return run
 
@@ -248,9 +256,12 @@ def _assemble(path: str):
                         ends, own = np.zeros(0, np.int64), {}
                         if shared:
                             for _, ends, h in chunks(pa.array([data.decode()])):
-                                own = {j: _unpacked(shared[x]) for j, x in enumerate(h.tolist()) if x in shared}
+                                own = {j: _unpacked(shared[x]) for j, x in enumerate(h) if x in shared}
                         tokens = enc.encode(data, ends, own)
                         ok = enc.encoding.decode_bytes(tokens.tolist()) == data
+                        if not ok:  # two chunks of one digest
+                            tokens = enc.plain(data)
+                            ok = enc.encoding.decode_bytes(tokens.tolist()) == data
                     flat.append(tokens)
                     sizes[i], good[i], valid[i] = len(tokens), ok, True
                 values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
@@ -265,13 +276,12 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     # never null, as the planner can tell: both joins then share one exchange of the texts
     node = F.coalesce(F.unhex(F.coalesce(F.md5("text"), F.md5(F.lit("\0null")))), F.lit(b""))
     kind = dict(docs.dtypes)["doc_id"]
-    held = docs.select(node.alias("node"), F.explode(_digests("text")).alias("digest"))
-    same = Window.partitionBy("digest")
-    found = held.repartition("digest").distinct().withColumn("owner", F.min("node").over(same)).withColumn("other", F.max("node").over(same))
-    places = cut(found.where("owner <> other").select("digest", "node", "owner"))
+    held = cut(docs.select(node.alias("node"), F.explode(_digests("text")).alias("digest")))
+    shared = held.groupBy("digest").agg(F.min("node").alias("owner"), F.max("node").alias("other")).where("owner <> other").select("digest", "owner")
+    places = cut(held.join(shared, "digest").select("digest", "node", "owner").distinct())
     texts = docs.select("doc_id", node.alias("node"), _squeezed("text").alias("packed"))
     wanted = places.where("node = owner").groupBy("node").agg(F.collect_list("digest").alias("wanted"))
-    once = texts.join(wanted, "node").select("doc_id", "node", "packed", "wanted").mapInArrow(_encode_shared(vocabulary), "digest bigint, tokens binary")
+    once = texts.join(wanted, "node").select("doc_id", "node", "packed", "wanted").mapInArrow(_encode_shared(vocabulary), "digest binary, tokens binary")
     once = once.groupBy("digest").agg(F.any_value("tokens").alias("tokens"))
     owned = places.select("digest", "node").join(once, "digest").groupBy("node").agg(F.collect_list(F.struct("digest", "tokens")).alias("held"))
     return texts.join(owned, "node", "left").select("doc_id", "node", "packed", "held").mapInArrow(_assemble(vocabulary), f"doc_id {kind}, token_ids array<int>, n_tokens bigint, round_trip boolean")
