@@ -11,10 +11,11 @@ every language, by hash order of doc_id. Every document is then scored whole.
 Cost at scale. A machine is linear in the counts of n-grams, so a document's score is the sum of the weights at its n-grams: one gather a
 byte and machine, no feature vectors. The query has no shuffle of texts.
 
-Defined results: a text without letters, an empty or a null one is 'und', of family 'und', with margin 0. Rows whose language is
-null are not trained on. A language of no known family makes a family of its own. With one language there are no machines, and it
-is what every text with letters gets; with none all are 'und'. Further columns of any name are ignored. Equal texts get equal results. An
-empty table gives an empty result.
+Defined results: a text without letters (in any script), an empty or a null one is 'und', of family 'und', with margin 0. Rows whose
+language is null are not trained on, nor are texts without letters, and a language with no other rows is no candidate. Equal rows are
+trained on once. A language of no known family makes a family of its own. With one language there are no machines, and it is what every
+text with letters gets; with none all are 'und'. Further columns of any name are ignored. Equal texts get equal results: a score is
+summed along its own text alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,10 +69,16 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.ravel(), off * 3
 
 
+def lettered(texts: pa.Array) -> np.ndarray:
+    """Whether each text has a letter of any script."""
+    return np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False), dtype=bool)
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """Shares of the n-grams of each text, rows of BUCKETS; texts without letters are zero."""
     rows = []
     for _, part in B.pieces(texts):
+        part = pc.if_else(pa.array(lettered(part)), part, pa.scalar("", part.type))
         g, off = grams(part)
         doc = np.repeat(np.arange(len(part)), np.diff(off))
         ok = g >= 0
@@ -124,11 +131,12 @@ def svm(x: np.ndarray, y: np.ndarray, passes: int = PASSES, ridge: float = RIDGE
 
 
 def train(texts: pa.Array, langs: list[str]) -> Machines:
-    names = sorted(set(langs))
-    x, lang = features(texts), np.array(langs)
-    fam = np.array([family(v) for v in langs])
+    """Machines of the languages that have a text with letters: each pair has rows on both sides."""
+    x, lang = features(texts), np.array(langs, dtype=object)
+    fam = np.array([family(v) for v in langs], dtype=object)
     some = x.sum(1) > 0
     x, lang, fam = x[some], lang[some], fam[some]
+    names = sorted(set(lang))
     pairs = [("f", a, b) for a, b in combinations(sorted({family(v) for v in names}), 2)]
     pairs += [("l", a, b) for a, b in combinations(names, 2) if family(a) == family(b)]
     w, bias = [], []
@@ -170,9 +178,11 @@ def predict(texts: pa.Array, m: Machines) -> tuple[list[str], list[str], np.ndar
         count = np.concatenate(([0], np.cumsum(g >= 0)))
         n = count[off[1:]] - count[off[:-1]]
         s = np.zeros((len(part), len(m.pairs)))
+        full = np.flatnonzero(np.diff(off) > 0)
         for col in range(len(m.pairs)):
-            total = np.concatenate(([0.0], np.cumsum(table_[g, col])))
-            s[:, col] = (total[off[1:]] - total[off[:-1]]) / np.maximum(n, 1) + m.bias[col]
+            if len(full):
+                s[full, col] = np.add.reduceat(table_[g, col], off[full])
+            s[:, col] = s[:, col] / np.maximum(n, 1) + m.bias[col]
         f, low = _vote(list(by_family), [(c, a, b) for c, (k, a, b) in enumerate(m.pairs) if k == "f"], s)
         names = list(by_family)
         lang, margin = np.empty(len(part), dtype=object), np.array(low, dtype=float)
@@ -183,7 +193,7 @@ def predict(texts: pa.Array, m: Machines) -> tuple[list[str], list[str], np.ndar
                 lang[d] = by_family[name][b]
             if len(by_family[name]) > 1:
                 margin[own] = np.minimum(margin[own], close) if len(names) > 1 else close
-        none = n == 0
+        none = ~lettered(part)
         fams += ["und" if x else names[i] for x, i in zip(none, f)]
         langs += ["und" if x else v for x, v in zip(none, lang)]
         margins.append(np.where(none, 0.0, np.round(margin, 6)))
@@ -199,19 +209,23 @@ def trained(docs: DataFrame, max_train: int = MAX_TRAIN) -> Machines:
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, int(2**30 * min(1.0, max_train / n))).otherwise(share)
-    rows = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("train")), F.lit(2**30)) < share)
+    by = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))  # rows without a number go by their text
+    rows = known.where(F.pmod(F.xxhash64(by, F.lit("train")), F.lit(2**30)) < share).select("text", F.col("lang").cast("string")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("lang", pa.string())]))
         if t.num_rows:
             t = t.sort_by([("lang", "ascending"), ("text", "ascending")])
             m = train(t["text"].combine_chunks(), t["lang"].to_pylist())
-            kinds, a, b = (list(x) for x in zip(*m.pairs)) if m.pairs else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([np.append(m.weights[:, i], m.bias[i]) for i in range(len(kinds))], pa.list_(pa.float64()))], names=["kind", "a", "b", "w"])
+            # a row for each machine, and one of kind '' for each candidate language
+            kinds, a, b = (list(x) for x in zip(*m.pairs, *(("", v, "") for v in m.languages))) if m.languages else ([], [], [])
+            w = [np.append(m.weights[:, i], m.bias[i]) for i in range(len(m.pairs))] + [None] * len(m.languages)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(w, pa.list_(pa.float64()))], names=["kind", "a", "b", "w"])
 
-    got = sorted(rows.select("text", F.col("lang").cast("string")).repartition(1).mapInArrow(run, "kind string, a string, b string, w array<double>").collect(), key=lambda r: (r["kind"], r["a"], r["b"]))
+    all_ = sorted(rows.repartition(1).mapInArrow(run, "kind string, a string, b string, w array<double>").collect(), key=lambda r: (r["kind"], r["a"], r["b"]))
+    got = [r for r in all_ if r["kind"]]
     w = np.array([r["w"] for r in got]).reshape(len(got), BUCKETS + 1).T
-    return Machines(sorted(sizes), [(r["kind"], r["a"], r["b"]) for r in got], w[:-1], w[-1])
+    return Machines([r["a"] for r in all_ if not r["kind"]], [(r["kind"], r["a"], r["b"]) for r in got], w[:-1], w[-1])
 
 
 def identified(docs: DataFrame, machines: Machines) -> DataFrame:
