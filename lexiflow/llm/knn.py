@@ -2,12 +2,17 @@
 
 Pivots, taken by hash order, cut the vectors into Voronoi cells. One summary a cell, with its size, its radius and the k + 1
 least distances to its pivot, bounds by the triangle inequality how far the k-th neighbour of any query of a cell can be.
-From that follows for each pair of cells how far from its pivot a data vector has to lie to matter; only those are replicated to the
-cell's group of queries. A group's work is cut further, by slices of queries and slabs of data, so that no task holds a
-whole group; the local top-k lists are then merged. Nothing is approximate.
+From that follows for each pair of cells in which ring about its pivot a data vector has to lie to matter; only those are replicated to
+the cell's group of queries. Groups are of cells that lie together, and grow in number with the data; where a group's queries or the
+data it needs, which are counted first, exceed what a task may hold, it is cut by slices of queries and slabs of data. The local top-k
+lists are then merged. Nothing is approximate.
+
+Cost at scale. What is sent is the number of groups that each vector may matter to. Where the bounds prune nothing, as with vectors
+without structure in many dimensions, that is all of them: the sum over pairs of blocks of task_bytes, quadratic with a small factor,
+as any exact method has to compare all pairs there.
 
 Defined results: distance is Euclidean, in double precision, rounded to 7 decimals; neighbours are ordered by it and then by vec_id.
-A vector with a null id, with no values, or with a null or non-finite value neither asks nor answers. Vectors are neighbours of those of
+A vector with a null id, with no values, or with a null value or one not below 1e150 in size neither asks nor answers. Vectors are neighbours of those of
 their own dimension; the join runs once for each dimension. A vector isn't a neighbour of rows with its own vec_id; rows with equal vec_id and equal
 vector count once, rows with equal vec_id and other vectors are all data, and a query is then answered from its nearest one
 to each neighbour. With fewer than k others there are fewer neighbours. Further columns of any name are ignored. An empty table
@@ -28,8 +33,10 @@ from pyspark.sql import functions as F
 from ._spark import cut, table
 
 K, DIGITS = 10, 7
-#: Queries of a slice and data vectors of a slab: what one local task holds.
-SLICE, SLAB, MOST_PIVOTS = 8192, 32768, 512
+#: Bytes of queries and of data that a local task holds; pivots at most (they affect speed alone); rows of queries and of data at a time.
+TASK_BYTES, MOST_PIVOTS, QUERIES, DATA = 1 << 25, 2048, 256, 16384
+#: Squares of larger values might not be finite.
+HUGE = 1e150
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -48,7 +55,8 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _local(k: int, dim: int):
-    """Top k of the queries among the data of one task."""
+    """Top k of the queries among the data of one task. Distances are first found as |a|^2 + |b|^2 - 2ab, with the origin moved into the
+    data; whatever may belong to the k nearest, by a bound on the rounding of that and of DIGITS, is then measured exactly."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         asks = t["asks"].to_numpy().astype(bool)
@@ -57,15 +65,29 @@ def _local(k: int, dim: int):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(q) and len(s):
             repeats = int(np.unique(sid, return_counts=True)[1].max())
-            norm = (s**2).sum(1)
-            for at in range(0, len(q), 256):
-                part, pid = q[at : at + 256], qid[at : at + 256]
-                d = (part**2).sum(1)[:, None] - 2 * part @ s.T + norm
-                d[pid[:, None] == sid[None, :]] = 1e300
-                # one id may have several vectors, so it takes k rows of different ids, at most that many times as many rows
-                most = min(len(s), k * repeats)
-                far = np.partition(d, most - 1, axis=1)[:, most - 1]
-                rows, cols = np.nonzero((d <= far[:, None] + 1e-6) & (d < 1e299))
+            # an id may have several vectors, the query's own too: k other ids are among so many rows
+            most = (k + 1) * repeats
+            near = s - s[0]
+            norm = (near**2).sum(1)
+            top = float(norm.max())
+            for at in range(0, len(q), QUERIES):
+                part, pid = q[at : at + QUERIES], qid[at : at + QUERIES]
+                moved = part - s[0]
+                own = (moved**2).sum(1)
+                err = 8 * np.finfo(float).eps * (dim + 8) * (own + top)
+                limit = np.full(len(part), np.inf)
+                found: list[tuple[np.ndarray, np.ndarray]] = []
+                for begin in range(0, len(s), max(DATA, most)):
+                    block = near[begin : begin + max(DATA, most)]
+                    d = own[:, None] + norm[begin : begin + len(block)] - 2 * moved @ block.T
+                    if len(block) >= most and not begin:
+                        far = np.maximum(np.partition(d, most - 1, axis=1)[:, most - 1], 0) + err
+                        limit = (np.sqrt(far) + 1.1 * 10.0**-DIGITS) ** 2 * (1 + 1e-12) + err
+                    rows, cols = np.nonzero(d <= limit[:, None])
+                    found.append((rows, cols + begin))
+                rows, cols = (np.concatenate(c) for c in zip(*found))
+                other = pid[rows] != sid[cols]
+                rows, cols = rows[other], cols[other]
                 exact = np.round(np.sqrt(((part[rows] - s[cols]) ** 2).sum(1)), DIGITS)
                 a, b = pid[rows], sid[cols]
                 order = np.lexsort((exact, b, a))
@@ -85,90 +107,139 @@ def _local(k: int, dim: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, pivots: int | None = None, groups: int = 12) -> DataFrame:
-    """vec_id, neighbour_id, rank (from 1), distance of the k nearest of every vector."""
+def _bounds(between: np.ndarray, radius: np.ndarray, n: np.ndarray, near: list[tuple[int, float, int]], k: int) -> np.ndarray:
+    """How far the k-th neighbour of any query of each cell can be. near: (cell, distance, id) of the vectors nearest to their pivots."""
+    bound = np.full(len(n), np.inf)
+    if not near:
+        return bound
+    cell, dist, ids = (np.array(c) for c in zip(*near))
+    for i in np.flatnonzero(n):
+        upper = radius[i] + between[i, cell] + dist
+        # k + 1 different ids are as near as this, so k other than the query's own
+        size = 4 * (k + 1)
+        while True:
+            at = np.argpartition(upper, size - 1)[:size] if size < len(upper) else np.arange(len(upper))
+            at = at[np.argsort(upper[at], kind="stable")]
+            first = np.sort(np.unique(ids[at], return_index=True)[1])
+            if len(first) > k:
+                bound[i] = upper[at[first[k]]]
+            if len(first) > k or size >= len(upper):
+                break
+            size *= 4
+    return bound
+
+
+def _divided(p: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """The group of each cell: cells are halved along the axis in which their pivots differ most until a group has `most` vectors at
+    most, or one cell."""
+    group, todo, made = np.zeros(len(p), dtype=np.int32), [np.arange(len(p))], 0
+    while todo:
+        cells = todo.pop()
+        if n[cells].sum() > most and len(cells) > 1:
+            axis = p[cells].var(0).argmax()
+            cells = cells[np.argsort(p[cells, axis], kind="stable")]
+            sums = np.cumsum(n[cells])
+            half = int(np.clip(np.searchsorted(sums, sums[-1] / 2) + 1, 1, len(cells) - 1))
+            todo += [cells[:half], cells[half:]]
+        else:
+            group[cells] = made
+            made += 1
+    return group
+
+
+def neighbours(vectors: DataFrame, k: int = K, pivots: int | None = None, groups: int = 12, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """vec_id, neighbour_id, rank (from 1), distance of the k nearest of every vector. groups: how many at least (parallelism);
+    task_bytes: what the queries, and the data, of one local task may take."""
     schema = "vec_id bigint, neighbour_id bigint, rank int, distance double"
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & finite)
+    # floats are sent as floats, and measured as doubles
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < HUGE))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(f"array<{kind}>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & finite)
     sizes = rows.groupBy(F.size("v").alias("dim")).count().where("count > 1").orderBy("dim").collect()
     if not sizes:
         return vectors.sparkSession.createDataFrame([], schema)
-    lists = [_lists(rows.where(F.size("v") == r["dim"]).distinct(), r["dim"], r["count"], k, pivots, groups) for r in sizes]
+    lists = [_lists(rows.where(F.size("v") == r["dim"]).distinct(), r["dim"], r["count"], k, pivots, groups, kind, task_bytes) for r in sizes]
     best = reduce(DataFrame.unionByName, lists).groupBy("a", "b").agg(F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "rank", F.col("d").alias("distance"))
 
 
-def _lists(rows: DataFrame, dim: int, total: int, k: int, pivots: int | None, groups: int) -> DataFrame:
+def _lists(rows: DataFrame, dim: int, total: int, k: int, pivots: int | None, groups: int, kind: str, task_bytes: int) -> DataFrame:
     """a, b, d: lists of near vectors b of each vector a among rows (id, v) of one dimension, the k nearest at least."""
     wanted = pivots or max(1, min(MOST_PIVOTS, round(math.sqrt(total) / 2)))
     # about `wanted` pivots by a share of the hash range; only they reach the driver
     share = min(1.0, 4 * wanted / total)
     found = rows.where(F.pmod(F.xxhash64("id"), F.lit(2**30)) < int(2**30 * share)).select("v").orderBy(F.xxhash64("v")).limit(wanted).collect()
     found = found or rows.select("v").limit(1).collect()
-    p = np.unique(np.array([r["v"] for r in found]), axis=0)
+    p = np.unique(np.array([r["v"] for r in found], dtype=np.float64), axis=0)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell, dist = _to_pivots(_matrix(b.column("v"), dim), p)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell, pa.int32()), pa.array(dist, pa.float64())], names=["id", "v", "cell", "dist"])
 
-    placed = cut(rows.mapInArrow(assign, "id bigint, v array<double>, cell int, dist double"))
+    placed = cut(rows.mapInArrow(assign, f"id bigint, v array<{kind}>, cell int, dist double"))
     # summaries: a row for each cell; a query's own row may be among the k + 1 least
     near = placed.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("dist"))).where(F.col("n") <= 2 * k + 1).groupBy("cell").agg(F.collect_list(F.struct("dist", "id")).alias("near"))
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).join(near, "cell").collect()
     m = len(p)
     n, radius = np.zeros(m, dtype=np.int64), np.zeros(m)
-    close: dict[int, list] = {}
     for r in summary:
-        n[r["cell"]], radius[r["cell"]], close[r["cell"]] = r["n"], r["radius"], [(x["dist"], x["id"]) for x in r["near"]]
-    between = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(2))
-    bound = np.full(m, np.inf)
-    for i in range(m):
-        if n[i]:
-            # k + 1 different ids are as near as this, so k other than the query's own
-            upper: dict[int, float] = {}
-            for j, those in close.items():
-                for dist, id_ in those:
-                    v = radius[i] + between[i, j] + dist
-                    upper[id_] = min(v, upper.get(id_, np.inf))
-            best = sorted(upper.values())
-            bound[i] = best[k] if len(best) > k else np.inf
-    # groups of neighbouring cells of about equal size, along the order of distance from the first pivot
-    group = np.zeros(m, dtype=np.int32)
-    order = np.argsort(between[0], kind="stable")
-    group[order] = np.minimum(np.cumsum(n[order]) * groups // max(total, 1), groups - 1)
-    least = np.full((groups, m), np.inf)
-    for i in range(m):
-        if n[i]:
-            # the margin keeps rounding from costing a neighbour
-            least[group[i]] = np.minimum(least[group[i]], between[i] - radius[i] - bound[i] - 1e-6)
-    in_group = np.bincount(group, weights=n, minlength=groups)
-    slices = np.maximum(1, np.ceil(in_group / SLICE)).astype(int)
-    slabs = max(1, math.ceil(total / SLAB))
+        n[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
+    between = np.stack([np.sqrt(((p - x) ** 2).sum(1)) for x in p])
+    bound = _bounds(between, radius, n, [(r["cell"], x["dist"], x["id"]) for r in summary for x in r["near"]], k)
+    per = max(1, task_bytes // (8 * dim))
+    group = _divided(p, n, min(per, max(1, total // groups)))
+    count = int(group.max()) + 1
+    # the ring about each pivot in which a data vector has to lie to matter to a group; the margin keeps rounding from costing a neighbour
+    least, most = np.full((count, m), np.inf), np.full((count, m), -np.inf)
+    margin = 1e-6 + 1e-12 * (float(between.max()) + float(radius.max()))
+    for i in np.flatnonzero(n):
+        reach = radius[i] + bound[i] + margin
+        least[group[i]] = np.minimum(least[group[i]], between[i] - reach)
+        most[group[i]] = np.maximum(most[group[i]], between[i] + reach)
+    slices = np.maximum(1, np.ceil(np.bincount(group, weights=n, minlength=count) / per)).astype(int)
+
+    def needed(cell: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, groups) of each group that a data vector may matter to."""
+        return np.nonzero((dist[:, None] >= least[:, cell].T) & (dist[:, None] <= most[:, cell].T))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = np.zeros(count, dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                all_ += np.bincount(needed(b.column("cell").to_numpy(), b.column("dist").to_numpy())[1], minlength=count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count), pa.int32()), pa.array(all_, pa.int64())], names=["g", "n"])
+
+    slabs = np.ones(count, dtype=int)
+    for r in placed.select("cell", "dist").mapInArrow(tally, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect():  # a row for each group
+        slabs[r["g"]] = max(1, math.ceil(r["n"] / per))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                ids, cell, dist = b.column("id").to_numpy(), b.column("cell").to_numpy(), b.column("dist").to_numpy()
-                g, part, slab, asks, take = [], [], [], [], []
+                ids, cell = b.column("id").to_numpy(), b.column("cell").to_numpy()
                 mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                for x in range(groups):
-                    own = np.flatnonzero(group[cell] == x)
-                    here = np.flatnonzero(dist >= least[x][cell])
-                    for rows_, ask in ((own, True), (here, False)):
-                        for part_ in range(slices[x]) if not ask else (None,):
-                            for slab_ in range(slabs) if ask else (None,):
-                                take.append(rows_)
-                                g.append(np.full(len(rows_), x))
-                                part.append((mixed[rows_] % np.uint64(slices[x])).astype(np.int64) if ask else np.full(len(rows_), part_))
-                                slab.append(np.full(len(rows_), slab_) if ask else (mixed[rows_] % np.uint64(slabs)).astype(np.int64))
-                                asks.append(np.full(len(rows_), ask))
-                i = np.concatenate(take)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g), pa.int32()), pa.array(np.concatenate(part), pa.int32()), pa.array(np.concatenate(slab), pa.int32()), pa.array(np.concatenate(asks)), b.column("id").take(pa.array(i)), b.column("v").take(pa.array(i))], names=["g", "part", "slab", "asks", "id", "v"])
-
-    sent = placed.mapInArrow(spread, "g int, part int, slab int, asks boolean, id bigint, v array<double>")
+                rows_, g_ = needed(cell, b.column("dist").to_numpy())
+                # a query goes to a slice of its group and every slab, a data vector to a slab and every slice
+                take, g, part, slab, asks = [], [], [], [], []
+                for ask, at_, of, times in ((True, np.arange(len(ids)), group[cell], slabs), (False, rows_, g_, slices)):
+                    again = np.repeat(np.arange(len(at_)), times[of])
+                    number = np.arange(len(again)) - np.repeat(np.cumsum(times[of]) - times[of], times[of])
+                    at_, of = at_[again], of[again]
+                    fixed = mixed[at_] % (slices if ask else slabs)[of].astype(np.uint64)
+                    take.append(at_)
+                    g.append(of)
+                    part.append(fixed.astype(np.int64) if ask else number)
+                    slab.append(number if ask else fixed.astype(np.int64))
+                    asks.append(np.full(len(at_), ask))
+                i = pa.array(np.concatenate(take))
+                columns = [pa.array(np.concatenate(c), pa.int32()) for c in (g, part, slab)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(asks)), b.column("id").take(i), b.column("v").take(i)], names=["g", "part", "slab", "asks", "id", "v"])
+
+    sent = placed.mapInArrow(spread, f"g int, part int, slab int, asks boolean, id bigint, v array<{kind}>")
     return sent.groupBy("g", "part", "slab").applyInArrow(_local(k, dim), "a bigint, b bigint, d double")
 
 

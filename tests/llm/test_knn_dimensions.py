@@ -1,3 +1,5 @@
+import numpy as np
+
 from lexiflow.llm import knn
 
 
@@ -9,3 +11,29 @@ def test_each_dimension_has_its_neighbours(spark):
         near = sorted((abs(x[0] - y[0]), j) for j, y in rows if j != i and len(y) == len(x))[:2]
         want |= {(i, j, n, d) for n, (d, j) in enumerate(near, 1)}
     assert got == want
+
+
+def brute(rows, k):
+    out = set()
+    for i, x in rows:
+        near = sorted((round(float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), knn.DIGITS), j) for j, y in rows if j != i)[:k]
+        out |= {(i, j, n, d) for n, (d, j) in enumerate(near, 1)}
+    return out
+
+
+def test_far_from_the_origin_and_cut_into_many_tasks(spark):
+    rng = np.random.default_rng(4)
+    for offset, scale in ((0, 1), (1e6, 1), (1e7, 1), (-1e9, 1e3)):
+        rows = [(i, (rng.normal(size=16) * scale + offset).tolist()) for i in range(200)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        got = {tuple(r) for r in knn.neighbours(df, k=3, pivots=9, task_bytes=8 * 16 * 40).select("vec_id", "neighbour_id", "rank", "distance").collect()}
+        assert got == brute(rows, 3)
+
+
+def test_clusters_are_pruned_and_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) + 100 * (i % 7)).tolist()) for i in range(280)]
+    rows += [(i, [1.5, 1.5, 1.5, 1.5]) for i in range(300, 315)]  # ties
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in knn.neighbours(df, k=4, pivots=20).select("vec_id", "neighbour_id", "rank", "distance").collect()}
+    assert got == brute(rows, 4)
