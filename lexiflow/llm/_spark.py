@@ -72,3 +72,16 @@ def fresh(taken: list[str], *names: str) -> list[str]:
         out.append(n)
         low.add(n.lower())
     return out
+
+
+#: Words of 64 bits in the bitmap of may_hold().
+BITMAP = 2**19
+
+
+def may_hold(rows: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """The rows whose `on`, a bigint, may be among those of ids: all that are, and some others by chance. They are told by a bitmap of
+    fixed size, which is broadcast, so nothing is shuffled before the filter."""
+    bit, slot = f"shiftleft(1L, cast(xxhash64({on}) & 63 AS int))", f"pmod(shiftright(xxhash64({on}), 6), {BITMAP})"
+    at, bits = fresh(rows.columns, "slot", "bits")
+    bitmap = ids.groupBy(F.expr(slot).alias(at)).agg(F.bit_or(F.expr(bit)).alias(bits))
+    return rows.where(F.col(on).isNotNull()).withColumn(at, F.expr(slot)).join(F.broadcast(bitmap), at).where(f"{bits} & {bit} != 0").drop(at, bits)

@@ -40,12 +40,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import cut, table
+from ._spark import cut, may_hold, table
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "disgusting", "pathetic", "clown", "dumb", "imbecile", "filthy", "vermin", "subhuman", "retard", "bastard")
 MAX_TRAIN, SIZES, HASHED = 20_000, range(4, 9), 64
-#: Bands of three min-hashes of a labelled text; words of 64 bits in the bitmap of labelled ids; words that a partition counts before it sends them on.
-BANDS, BITMAP, HELD = 8, 2**19, 2**20
+#: Bands of three min-hashes of a labelled text; words that a partition counts before it sends them on.
+BANDS, HELD = 8, 2**20
 VOTERS = ("insults_a", "insults_b", "mined_0", "mined_1", "mined_2", "mined_3", "beginning", "two_beginnings", "two_hits", "density", "clean")
 
 
@@ -110,11 +110,8 @@ def _telling(keys: int, toxic: float, clean: float, cost: float) -> Column:
 
 def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, text, hash (of the text) of the rows that may have a label: those whose bit is set in a bitmap of the labelled ids."""
-    bit = "shiftleft(1L, cast(xxhash64(doc_id) & 63 AS int))"
-    slot = f"pmod(shiftright(xxhash64(doc_id), 6), {BITMAP})"
-    bitmap = known.groupBy(F.expr(slot).alias("slot")).agg(F.bit_or(F.expr(bit)).alias("bits"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.withColumn("slot", F.expr(slot)).join(F.broadcast(bitmap), "slot").where(f"bits & {bit} != 0").select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    return may_hold(rows, known).select("doc_id", "text", F.xxhash64("text").alias("hash"))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
