@@ -8,9 +8,13 @@ J_P of the two texts. Sketches are banded; texts that share a band are candidate
 computed from the whole texts, reaches the threshold. Groups are the connected components of what counts.
 
 Cost at scale. Equal texts fold into one node first, so thousands of copies cost one. Within a band's bucket each node is
-first paired with the bucket's least node only; after components of the verified pairs are known, every pair of a bucket
-whose nodes are still in different components is verified too. Pairs left out join nodes that are already connected, so the
-groups are exactly those of verifying all candidates, with no cap on a bucket and no quadratic work in a hot group.
+first paired with the bucket's least node only, which is linear, and suffices for a group of copies. Nodes of buckets that are then
+still in different components are joined again by their rarest shingles. That misses nothing: J_P is at most
+1 / (1 / s + 1 / t - 1), s and t being the shares of the two texts' weights that both have, so for J_P >= threshold either share is at
+least the threshold, and one at least 2 threshold / (1 + threshold). In any fixed order of shingles, then, the first that two near
+texts share is followed, itself included, by so much of both; with rare shingles in front few are left to ask. A passage or a
+template that a million texts have, but which doesn't make them near copies, is common to all of them, hence last in the order, and
+pairs nobody. Pairs within a component are never enumerated. There is no cap on a bucket.
 
 Defined results: texts are compared in lower case by words (see _bytes). Equal texts, the empty one included, form a
 group. A null text equals no other and stays alone, but rows of null text and equal doc_id count as one. A text without
@@ -33,6 +37,8 @@ from ._spark import cut, fresh, table
 
 #: Shingle length in words, bands, rows a band, least J_P of a near copy.
 K, BANDS, ROWS, THRESHOLD = 3, 28, 4, 0.5
+#: Counters of the shingles' rarity: texts are counted by hash, and only the order depends on it.
+SLOTS = 1 << 20
 _GOLD, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -157,15 +163,77 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.unhex(F.coalesce(F.md5("text"), null)).alias("node"))
 
 
+def _tallied(k: int):
+    """slot, n: how many texts of the partition have a shingle of each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for _, part in B.pieces(batch.column("text")):
+                n += np.bincount((B.shingles(B.Words(part), k)[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[slot], pa.int64())], names=["slot", "n"])
+
+    return run
+
+
+def _fronts(k: int, threshold: float, rarity: np.ndarray):
+    """shingle, node, root, short of the rarest shingles of each text: those from which on there is `threshold` of its weight, and whether
+    there is even 2 threshold / (1 + threshold)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in B.pieces(batch.column("text")):
+                doc, g, w = B.shingles(B.Words(part), k)
+                order = np.lexsort((g, rarity[(g % np.uint64(SLOTS)).astype(np.int64)], doc))
+                doc, g, w = doc[order], g[order], w[order]
+                ends = np.cumsum(np.bincount(doc, weights=w, minlength=len(part)))
+                before = np.cumsum(w) - w
+                total = np.diff(np.concatenate(([0.0], ends)))[doc]
+                left = (ends[doc] - before) / np.maximum(total, 1)
+                front = np.flatnonzero(left >= threshold - 1e-9)
+                rows = pa.array(doc[front] + at)
+                short = pa.array(left[front] >= 2 * threshold / (1 + threshold) - 1e-9)
+                yield pa.RecordBatch.from_arrays([pa.array(g[front].view(np.int64), pa.int64()), batch.column("node").take(rows), batch.column("root").take(rows), short], names=["shingle", "node", "root", "short"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a < b) of nodes of different roots among those of a shingle, one at least having it in its short front."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            lists = whole.column("those").slice(start, 4096)
+            flat = lists.flatten()
+            node, root = (flat.field(c).dictionary_encode() for c in ("node", "root"))
+            # numbers in the order of the nodes
+            rank = pc.rank(node.dictionary, tiebreaker="first").to_numpy().astype(np.int64)[node.indices.to_numpy()]
+            r, short = root.indices.to_numpy(), flat.field("short").to_numpy(zero_copy_only=False)
+            bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+            seen: list[np.ndarray] = []
+            held = 0
+            for at, to in zip(bounds[:-1], bounds[1:]):
+                for begin in range(at, to, 512):
+                    i, j = np.nonzero((r[begin : min(begin + 512, to), None] != r[None, at:to]) & (short[begin : min(begin + 512, to), None]))
+                    x, y = rank[begin + i], rank[at + j]
+                    seen.append(np.unique(np.minimum(x, y) << np.int64(32) | np.maximum(x, y)))
+                    held += len(seen[-1])
+                    if held > 1 << 20:
+                        seen = [np.unique(np.concatenate(seen))]
+                        held = 0
+            found = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+            names = node.dictionary.take(pc.sort_indices(node.dictionary))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array((found >> 32) - 1)), names.take(pa.array((found & 0xFFFFFFFF) - 1))], names=["a", "b"])
+
+
 def _grouped(docs: DataFrame, k: int, bands: int, rows: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The rows as (doc_id, node), and (node, root) of every node that has a near copy of another text."""
+    """The rows as (doc_id, node, row), and (node, root) of every node that has a near copy of another text."""
     spark = docs.sparkSession
-    rows_ = cut(_keyed(docs).select("doc_id", "node", _bands(bands, rows, k)("text").alias("keys")))
+    rows_ = cut(_keyed(docs).select("doc_id", "node", _bands(bands, rows, k)("text").alias("keys"), F.monotonically_increasing_id().alias("row")))
     nodes = rows_.groupBy("node").agg(F.any_value("keys").alias("keys"))
     spread = nodes.select("node", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = spread.withColumn("lead", F.min("node").over(bucket)).withColumn("n", F.count("node").over(bucket)).where("n > 1")
-    shared = cut(shared.select("key", "node", "lead"))
+    leads = spread.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    shared = cut(spread.join(leads, "key").select("key", "node", "lead"))
     near = shared.select("node").distinct()
     texts = cut(_keyed(docs).select("node", "text").join(near, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
 
@@ -174,17 +242,26 @@ def _grouped(docs: DataFrame, k: int, bands: int, rows: int, threshold: float) -
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(k, threshold), "a binary, b binary")
 
-    first = cut(verify(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
-    roots = cut(components(first, spark))
-    placed = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.withColumn("r0", F.min("root").over(bucket)).withColumn("r1", F.max("root").over(bucket)).where("r0 <> r1").select("key", "node", "root")
-    other = apart.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = apart.withColumnsRenamed({"node": "a", "root": "root_a"}).join(other, "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
     tried = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    second = cut(verify(rest.join(tried, ["a", "b"], "left_anti")))
+    first = cut(verify(tried))
+    roots = cut(components(first, spark))
+    ids = rows_.select("doc_id", "node", "row")
+    placed = cut(shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    apart = cut(placed.join(mixed, "key", "left_semi").select("node", "root").distinct())
+    if apart.isEmpty():
+        return ids, roots
+    left = cut(texts.join(apart, "node").select("node", "root", "text"))
+    tally = left.select("text").mapInArrow(_tallied(k), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    rarity = np.zeros(SLOTS, dtype=np.uint8)
+    rarity[tally["slot"].to_numpy()] = np.minimum(np.log2(tally["n"].to_numpy()) * 4, 255).astype(np.uint8)
+    fronts = left.mapInArrow(_fronts(k, threshold, rarity), "shingle bigint, node binary, root binary, short boolean")
+    met = fronts.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("short").alias("any"), F.collect_list(F.struct("node", "root", "short")).alias("those"))
+    pairs = met.where("r0 <> r1 AND any").select("those").mapInArrow(_met, "a binary, b binary").distinct()
+    second = cut(verify(pairs.join(tried, ["a", "b"], "left_anti")))
     if second.isEmpty():
-        return rows_.select("doc_id", "node"), roots
-    return rows_.select("doc_id", "node"), cut(components(first.union(second), spark))
+        return ids, roots
+    return ids, cut(components(first.union(second), spark))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,9 +269,9 @@ def near_duplicates(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int =
     one of its group that stays. One row for each row of docs."""
     ids, roots = _grouped(docs, k, bands, rows, threshold)
     ids = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    group = Window.partitionBy("root")
-    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "node")
-    return ids.select("doc_id", F.min("doc_id").over(group).alias("group_id"), F.count("*").over(group).alias("group_size"), (F.row_number().over(first) == 1).alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "node", "row")).alias("first")
+    groups = ids.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"), first)
+    return ids.join(groups, "root").select("doc_id", "group_id", "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from lexiflow.llm import _bytes, bpe, chat, language, near_dup, queries, toxicity, warc_index
-from lexiflow.llm._spark import table
+from lexiflow.llm._spark import cut, table
 from tests.oracle import compare
 
 
@@ -89,6 +89,50 @@ def test_near_duplicate_groups(spark, sf01):
     assert pairs(Counter(got.values())) == pairs(found)
 
 
+def test_templates_make_few_pairs(spark, monkeypatch):
+    """Texts that share a template, but too little to be near copies, are neither grouped nor compared with one another; near copies among
+    them are found."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x:x}" for x in rng.integers(0, 10**9, n)]
+    template = word(240)
+    for n in (60, 240):
+        texts = [" ".join(template + word(160)) for _ in range(n)]
+        close = [t.split() for t in texts[:10]]
+        for c in close:
+            c[300:330] = word(30)
+        docs = spark.createDataFrame(list(enumerate(texts + [" ".join(c) for c in close])), "doc_id bigint, text string")
+        asked = []
+        with monkeypatch.context() as m:
+            m.setattr(near_dup, "cut", lambda df: (asked.append(df), cut(df))[1])
+            got = {r.doc_id: r.group_id for r in near_dup.near_duplicates(docs).collect()}
+        assert got == {i: i if i < n else i - n for i in range(n + 10)}
+        rows = [df.count() for df in asked if df.columns == ["a", "b"]]
+        assert sum(rows) <= 2 * 10
+
+
+def test_fronts_miss_no_near_pair():
+    """Any two texts of J_P at the threshold share a shingle in the front of both, and in the short front of one."""
+    rng = np.random.default_rng(7)
+    for threshold in (0.3, 0.5, 0.8):
+        rarity = rng.integers(0, 5, near_dup.SLOTS).astype(np.uint8)
+        near = 0
+        for _ in range(300):
+            base = [f"w{x}" for x in rng.integers(0, 30, rng.integers(4, 60))]
+            texts = []
+            for _ in range(2):
+                c = list(base) + [f"v{x}" for x in rng.integers(0, 30, rng.integers(0, 40) * rng.integers(0, 2))]
+                for _ in range(rng.integers(0, 6)):
+                    c[rng.integers(0, len(c))] = f"u{rng.integers(0, 9)}"
+                texts.append(" ".join(c))
+            if j_p(weighted(texts[0]), weighted(texts[1])) >= threshold:
+                near += 1
+                batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([b"a", b"b"]), pa.array([b"a", b"b"])], names=["text", "node", "root"])
+                rows = pa.Table.from_batches(near_dup._fronts(3, threshold, rarity)(iter([batch]))).to_pylist()
+                a, b = ({r["shingle"]: r["short"] for r in rows if r["node"] == n} for n in (b"a", b"b"))
+                assert any(a[x] or b[x] for x in a.keys() & b.keys())
+        assert near > 20
+
+
 def brute_repair(roles):
     best = None
     for labels in product(chat.ROLES, repeat=len(roles)):
