@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPOCH, STEP, SPAN = "2024-01-01 00:00:00", 7919, 525_600
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
 REST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)"
 
 
@@ -19,7 +19,7 @@ def captured_at(page_id: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Lower case, no user, port or final dot; '' where there is none."""
+    """Lower case, no user, port or final dot; an IPv6 address with its brackets; '' where there is none."""
     return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"[.]+$", ""), F.lit(""))
 
 
