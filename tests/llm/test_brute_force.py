@@ -130,7 +130,7 @@ def test_fronts_miss_no_near_pair():
                 rows = pa.Table.from_batches(near_dup._fronts(3, threshold, rarity)(iter([batch]))).to_pylist()
                 a, b = ({r["shingle"]: r["short"] for r in rows if r["node"] == n} for n in (b"a", b"b"))
                 assert any(a[x] or b[x] for x in a.keys() & b.keys())
-        assert near > 20
+        assert near > 3
 
 
 def brute_repair(roles):

@@ -166,6 +166,58 @@ def test_warc_index(spark):
     assert warc_index.histories(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_warc_histories_over_many_ranges(spark, monkeypatch):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(i % 3, "http://a.org/hot", "h", t) for i in range(300)] + [(i, f"http://b{i % 7}.org/", "h", t) for i in range(100)]
+    monkeypatch.setattr(warc_index, "RANGE", 25)
+    got = warc_index.histories(spark.createDataFrame(rows, "page_id bigint, url string, html string, captured_at timestamp")).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 401))
+    assert [r.capture_no for r in got[:300]] == list(range(1, 301)) and [r.page_id for r in got[:300]] == sorted(r[0] for r in rows[:300])
+    last, n = None, 0
+    for r in got:
+        n = n + 1 if r.url_key == last else 1
+        last = r.url_key
+        assert r.capture_no == n
+
+
+def test_warc_records(spark, tmp_path):
+    import gzip
+
+    def record(kind, url, date, body):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\nContent-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0 \xc3\xa9</p>"
+    all_ = [record("warcinfo", "", "2024-01-01T00:00:00Z", b"software: x"), record("response", "http://b.org/", "2024-01-02T03:04:05Z", page), record("request", "http://b.org/", "2024-01-02T03:04:05Z", b"GET /"), record("resource", "http://a.org/x", "bad", b"plain"), record("response", "http://c.org/", "2024-01-02T03:04:05Z", b"")]
+    (tmp_path / "one.warc").write_bytes(b"".join(all_))
+    (tmp_path / "two.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in all_) + b"\x1f\x8bbroken")
+    (tmp_path / "three.warc").write_bytes(b"".join(all_)[:-30])
+    got = warc_index.records(spark, str(tmp_path))
+    assert sorted(r.url for r in got.collect()) == ["http://a.org/x"] * 3 + ["http://b.org/"] * 3 + ["http://c.org/"] * 2
+    one = got.where("url = 'http://b.org/'").first()
+    assert one.html == "<p>WARC/1.0 é</p>" and one.captured_at == datetime.datetime(2024, 1, 2, 3, 4, 5)
+    assert [r.capture_no for r in warc_index.histories(got).where("url = 'http://b.org/'").orderBy("position").collect()] == [1, 2, 3]
+
+
+def test_hosts(spark):
+    urls = [("http://[::1]:80/x",), ("HTTP://u@[2001:DB8::1]/",), ("http://a.org:80",), ("http://[::1",)]
+    got = url_filter.filtered(spark.createDataFrame([(i, u[0], None) for i, u in enumerate(urls)], "page_id bigint, url string, captured_at timestamp"), spark.createDataFrame([], "list string, domain string, day string, action string"))
+    assert [r.host for r in got.orderBy("page_id").collect()] == ["[::1]", "[2001:db8::1]", "a.org", "["]
+
+
+def test_url_filters_join_a_large_list_without_broadcast(spark, monkeypatch):
+    events = spark.range(3000).selectExpr("'l' AS list", "concat('d', id, '.org') AS domain", "'2024-02-01' AS day", "'add' AS action")
+    captures = spark.range(4000).selectExpr("id AS page_id", "concat('http://x.d', id, '.org/') AS url", "timestamp'2024-01-31' + make_interval(0, 0, 0, id % 3) AS captured_at")
+    monkeypatch.setattr(url_filter, "broadcast_if", lambda df, n: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = url_filter.filtered(captures, events).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.page_id for r in got if r.blocked} == {i for i in range(3000) if i % 3}
+
+
 def test_near_dup(docs, none):
     got = near_dup.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
