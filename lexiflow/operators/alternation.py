@@ -375,20 +375,55 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rule_rows(), SCHEMA)
 
 
+def _bars(ends: str) -> str:
+    return f"|{ends.replace('/', '|')}|" if ends else ""
+
+
+def keyed_rules(spark: SparkSession, direction: str) -> DataFrame:
+    """The rules of a direction for an equality join: rule_mija, tail (the last letter of its endings, '' where it asks for none) and
+    the endings as text between bars; a rule of several last letters has a row for each."""
+    out = []
+    for mija, groups in (ANALYSIS if direction == "a" else GENERATION).items():
+        ord_ = 0
+        for grp, group in enumerate(groups):
+            for rank, branch in enumerate(group):
+                for e in branch:
+                    ends = e.ends.split("/") if e.ends else [""]
+                    for tail in sorted({x[-1:] for x in ends}):
+                        of = "/".join(x for x in ends if x[-1:] == tail)
+                        out.append((mija, tail, grp, rank, ord_, _bars(of), _bars(e.no), e.starts or None, e.least, e.syllables, _bars(e.third), _bars(e.not_third), e.proper, e.superlative, e.head, e.cut, e.pre, e.add, e.degree, e.mark, e.length, e.emit, e.use_third))
+                    ord_ += 1
+    names = SCHEMA.removeprefix("direction string, ").replace("mija int, ", "rule_mija int, tail string, ").replace(" proper ", " rule_proper ").replace(" superlative ", " rule_superlative ")
+    return spark.createDataFrame(out, names)
+
+
 def redirects(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in REDIRECTS.items()], "mija int, prefix string, least int, target int, vowels boolean")
 
 
+#: Letters of the longest ending of a rule, and of the longest asked of the past stem.
+_LONGEST = max(len(x) for t in (ANALYSIS, GENERATION) for groups in t.values() for g in groups for b in g for e in b for x in f"{e.ends}/{e.no}".split("/"))
+_LONGEST_THIRD = max(len(x) for t in (ANALYSIS, GENERATION) for groups in t.values() for g in groups for b in g for e in b for x in f"{e.third}/{e.not_third}".split("/"))
+
+
+def _ends(word: str, ends: str, longest: int) -> Column:
+    """Whether a word has one of the endings between bars; comparisons of text, which unlike patterns from a column are never compiled."""
+    found = F.expr(f"instr({ends}, concat('|', right({word}, 1), '|')) > 0")
+    for n in range(2, longest + 1):
+        found = found | F.expr(f"instr({ends}, concat('|', right({word}, {n}), '|')) > 0")
+    return found
+
+
 def _applies() -> Column:
     stem = F.col("_stem")
     tests = [
-        F.col("ends").isNull() | F.expr("_stem rlike ends"),
-        F.col("not_ends").isNull() | ~F.expr("_stem rlike not_ends"),
+        (F.col("ends") == "") | _ends("_stem", "ends", _LONGEST),
+        (F.col("not_ends") == "") | ~_ends("_stem", "not_ends", _LONGEST),
         F.col("starts").isNull() | F.startswith(stem, F.col("starts")),
         F.length(stem) >= F.col("min_len"),
-        F.size(F.regexp_extract_all(F.lower(stem), F.lit("[aāeēiīouū]+"), F.lit(0))) >= F.col("syllables"),
-        F.col("third").isNull() | F.expr("third_stem rlike third"),
-        F.col("not_third").isNull() | ~F.expr("third_stem rlike not_third"),
+        (F.col("syllables") == 0) | (F.size(F.regexp_extract_all(F.lower(stem), F.lit("[aāeēiīouū]+"), F.lit(0))) >= F.col("syllables")),
+        (F.col("third") == "") | _ends("third_stem", "third", _LONGEST_THIRD),
+        (F.col("not_third") == "") | ~_ends("third_stem", "not_third", _LONGEST_THIRD),
         F.col("rule_proper").isNull() | (F.col("rule_proper") == F.col("proper")),
         F.col("rule_superlative").isNull() | (F.col("rule_superlative") == F.col("superlative")),
     ]
@@ -402,7 +437,7 @@ def variants(stems: DataFrame, direction: str) -> DataFrame:
     """Of rows with stem, mija, third_stem, proper, superlative (and any others, which are kept) the variants: variant, degree, mark,
     length, variant_ord. A blank stem, an unknown number or a missing debitive prefix gives none."""
     spark = stems.sparkSession
-    table = rules(spark).where(F.col("direction") == direction).drop("direction").withColumnsRenamed({"mija": "rule_mija", "proper": "rule_proper", "superlative": "rule_superlative"})
+    table = keyed_rules(spark, direction)  # some hundreds of rows
     key = stems.columns
     to = redirects(spark).withColumnRenamed("mija", "from_mija")
     rows = stems.where("stem <> ''").join(F.broadcast(to), F.col("mija") == F.col("from_mija"), "left")
@@ -413,8 +448,8 @@ def variants(stems: DataFrame, direction: str) -> DataFrame:
     else:
         changed = F.when(F.col("vowels"), vowel_changed(F.col("stem"), "g")).otherwise(F.col("stem"))
         rows = rows.withColumn("_stem", F.concat(F.coalesce("prefix", F.lit("")), changed))
-    rows = rows.withColumn("_mija", F.coalesce("target", "mija"))
-    hit = rows.join(F.broadcast(table), F.col("_mija") == F.col("rule_mija")).where(_applies())
+    rows = rows.withColumn("_mija", F.coalesce("target", "mija")).withColumn("_tail", F.explode(F.array(F.lit(""), F.expr("right(_stem, 1)"))))
+    hit = rows.join(F.broadcast(table), (F.col("_mija") == F.col("rule_mija")) & (F.col("_tail") == F.col("tail"))).where(_applies())
     hit = hit.withColumn("_least", F.min("rank").over(Window.partitionBy(*key, "grp"))).where("rank = _least AND emit")
     core = F.expr("substring(_stem, head + 1, greatest(length(_stem) - head - cut, 0))")
     made = F.concat(F.col("pre"), core, F.col("add"))

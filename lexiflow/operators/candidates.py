@@ -15,19 +15,19 @@ from ..seed import Catalog, Settings
 from ..session import cut
 from .alternation import variants, verified
 
-def suffixes(vocab: DataFrame, longest: int) -> DataFrame:
+def suffixes(vocab: DataFrame, longest: Column | int) -> DataFrame:
     """token, low, k, suffix, stem: every ending length that may be cut off, 0 and up to two less than the token has."""
     low = F.lower("token")
     rows = vocab.select("token", low.alias("low")).where("low <> ''")
-    lengths = F.sequence(F.lit(0), F.greatest(F.least(F.length("low") - 2, F.lit(longest)), F.lit(0)))
+    lengths = F.sequence(F.lit(0), F.greatest(F.least(F.length("low") - 2, longest if isinstance(longest, Column) else F.lit(longest)), F.lit(0)))
     rows = rows.withColumn("k", F.explode(lengths))
     return rows.select("token", "low", "k", F.expr("right(low, k)").alias("suffix"), F.expr("left(low, length(low) - k)").alias("stem"))
 
 
 def ending_matches(vocab: DataFrame, endings: DataFrame) -> DataFrame:
     """Endings that end a token: suffixes joined by equality, never by a comparison of every pair."""
-    longest = endings.agg(F.max(F.length("ending"))).first()[0] or 0
-    return suffixes(vocab, longest).join((endings), F.col("suffix") == F.col("ending"))
+    longest = F.coalesce(endings.agg(F.max(F.length("ending"))).scalar(), F.lit(0))
+    return suffixes(vocab, longest).join(endings, F.col("suffix") == F.col("ending"))
 
 
 def completed_lexemes(cat: Catalog) -> DataFrame:
@@ -143,9 +143,11 @@ def prefix_residues(vocab: DataFrame, prefixes: DataFrame) -> DataFrame:
     rows = vocab.select("token", F.lower("token").alias("low")).where(~F.col("low").contains(" "))
     deb = F.col("low").startswith("jā")
     rows = rows.withColumn("cur", F.when(deb, F.expr("substring(low, 3)")).otherwise(F.col("low"))).withColumn("keep", F.when(deb, F.lit("jā")).otherwise(F.lit("")))
-    # tens of prefixes, each tested on each distinct token
-    got = rows.crossJoin(p).withColumn("sup", F.expr("startswith(cur, concat('vis', prefix))")).where("sup OR startswith(cur, prefix)")
-    rest = F.when(F.col("sup"), F.concat(F.lit("vis"), F.expr("substring(cur, 4 + length(prefix))"))).otherwise(F.expr("substring(cur, 1 + length(prefix))"))
+    # joined by the first letter of what may begin with a prefix; under vis- that takes precedence
+    starts = F.explode(F.array_compact(F.array(F.struct(F.lit(False).alias("under"), F.col("cur").alias("rest")), F.when(F.col("cur").startswith("vis"), F.struct(F.lit(True).alias("under"), F.expr("substring(cur, 4)").alias("rest"))))))
+    met = rows.withColumn("x", starts).select("token", "low", "keep", "x.*").withColumn("letter", F.expr("left(rest, 1)")).join(p.withColumn("letter", F.expr("left(prefix, 1)")), "letter").where("startswith(rest, prefix)")
+    got = met.groupBy("token", "low", "keep", "prefix", "prefix_ord").agg(F.max_by("rest", "under").alias("rest"), F.max("under").alias("sup"))
+    rest = F.concat(F.when(F.col("sup"), F.lit("vis")).otherwise(F.lit("")), F.expr("substring(rest, 1 + length(prefix))"))
     return got.select("token", "prefix", "prefix_ord", F.concat("keep", rest).alias("residue"), F.col("sup").alias("superlative_prefix")).where("residue <> ''")
 
 
