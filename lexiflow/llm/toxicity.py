@@ -1,9 +1,11 @@
 """Operator 8: toxicity by weak supervision.
 
-Voters. A built-in list of common English insults makes two lexicon voters. Further lexicons are mined, for whatever
-languages the table holds, from all labelled rows: words, and word beginnings of 4 to 8 bytes, whose presence is far likelier
-in toxic rows than chance allows. Mined words make four voters, beginnings two pattern voters;
+Voters. Built-in lists of common insults make a lexicon voter for each of several languages (two for English). Two pattern voters
+look for threats (a verb of violence right before its object) and for insults in disguise (digits for letters). Further lexicons are
+mined, for whatever languages the table holds, from all labelled rows: words, and word beginnings of 4 to 8 bytes, whose presence is
+far likelier in toxic rows than chance allows. Mined words make four voters, beginnings two pattern voters;
 two more vote on how many different hits a text has and on their density, and one votes clean where nothing was hit.
+Labels propose lexicons only: neither the label model nor the classifier sees one.
 
 Label model. Over the vote patterns of *all* documents a generative model P(y) prod P(vote | y, its parent's vote) is
 fitted by expectation maximisation, without any labels: independent voters first, then, from the conditional mutual
@@ -42,26 +44,69 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from ._spark import cut, may_hold, table
 
-INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "disgusting", "pathetic", "clown", "dumb", "imbecile", "filthy", "vermin", "subhuman", "retard", "bastard")
+INSULTS = {
+    "en": ("idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "disgusting", "pathetic", "clown", "dumb", "imbecile", "filthy", "vermin", "subhuman", "retard", "bastard"),
+    "de": ("arschloch", "vollidiot", "dummkopf", "schwachkopf", "drecksau", "abschaum", "missgeburt", "hurensohn", "wichser", "miststück"),
+    "fr": ("connard", "connasse", "salaud", "salope", "imbécile", "crétin", "abruti", "ordure", "pourriture", "dégueulasse"),
+    "es": ("imbécil", "estúpido", "estúpida", "gilipollas", "cabrón", "escoria", "asqueroso", "asquerosa", "patético", "hijoputa"),
+    "other": ("coglione", "stronzo", "pezzente", "idioot", "klootzak", "otário", "desgraçado", "kretyn", "debils", "stulbenis"),
+}
+#: Verbs of violence and their objects, the second word right after the first.
+THREATS = (
+    (("kill", "hurt", "stab", "shoot", "strangle", "murder"), ("you", "them", "yourself", "him", "her")),
+    (("töte", "ermorde", "erschieße"), ("dich", "euch")),
+    (("mataré", "mataros", "matarte"), ("a", "todos")),
+    (("tuer", "frapper", "égorger"), ("toi", "vous")),
+)
+#: Digits that stand for letters.
+DISGUISE = dict(zip(b"0134578", b"oieastb"))
+#: Bound: rows that train the classifier, about.
 MAX_TRAIN, SIZES, HASHED = 20_000, range(4, 9), 64
 #: Bands of three min-hashes of a labelled text; words that a partition counts before it sends them on.
 BANDS, HELD = 8, 2**20
-VOTERS = ("insults_a", "insults_b", "mined_0", "mined_1", "mined_2", "mined_3", "beginning", "two_beginnings", "two_hits", "density", "clean")
+VOTERS = ("insults_a", "insults_b", "insults_de", "insults_fr", "insults_es", "insults_other", "threats", "disguised", "mined_0", "mined_1", "mined_2", "mined_3", "beginning", "two_beginnings", "two_hits", "density", "clean")
 
 
 def _hashes(words: tuple[str, ...]) -> np.ndarray:
     return np.sort(B.Words(pa.array(words)).hash)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return B.mix(a * np.uint64(0x9FB21C651E98DF25) + b)
+
+
+_THREATS = np.sort(np.concatenate([_pair(_hashes(v)[:, None], _hashes(o)[None, :]).ravel() for v, o in THREATS]))
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[list(DISGUISE)] = list(DISGUISE.values())
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+
+
+def _undisguised(w: B.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of words of letters and digits, their hashes with letters for digits)."""
+    digits = np.concatenate(([0], np.cumsum(_DIGIT[w.data])))
+    n = digits[w.end] - digits[w.start]
+    at = np.flatnonzero((n > 0) & (n < w.end - w.start))
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    size = w.end[at] - w.start[at]
+    ends = np.cumsum(size)
+    data = _PLAIN[w.data[np.arange(ends[-1]) + np.repeat(w.start[at] - (ends - size), size)]]
+    return at, B.span_hash(B.prefix_hash(data), ends - size, ends)
+
+
 @dataclass
 class Lexicon:
-    """Sorted hashes of the built-in insults, of the mined words and of the mined beginnings by size."""
+    """Sorted hashes of the built-in insults of all languages, of the mined words and of the mined beginnings by size."""
 
-    insults: np.ndarray = field(default_factory=lambda: _hashes(INSULTS))
+    insults: np.ndarray = field(default_factory=lambda: _hashes(tuple(w for words in INSULTS.values() for w in words)))
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     beginnings: dict[int, np.ndarray] = field(default_factory=dict)
 
 
+_BY_LIST = [_hashes(words) for words in INSULTS.values()]
+
+
 def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(x), dtype=bool)
@@ -77,6 +122,13 @@ def hits(texts: pa.Array, lexicon: Lexicon) -> dict[str, np.ndarray]:
         w = B.Words(part)
         n = w.n
         insult, mined, begun = _within(w.hash, lexicon.insults), _within(w.hash, lexicon.words), np.zeros(len(w.hash), dtype=bool)
+        by_list = [insult & _within(w.hash, known) for known in _BY_LIST]
+        at, h = _undisguised(w)
+        disguised = np.zeros(len(w.hash), dtype=bool)
+        disguised[at] = _within(h, lexicon.insults) & ~insult[at]
+        threat = np.zeros(len(w.hash), dtype=bool)
+        threat[:-1] = _within(_pair(w.hash[:-1], w.hash[1:]), _THREATS) & (w.doc[:-1] == w.doc[1:])
+        insult = insult | disguised | threat
         for size, known in lexicon.beginnings.items():
             if len(known):
                 at, h = w.prefixes(size)
@@ -90,8 +142,9 @@ def hits(texts: pa.Array, lexicon: Lexicon) -> dict[str, np.ndarray]:
         got = {"insults": count(insult), "mined": count(mined), "beginnings": count(begun), "different": np.bincount(d[new], minlength=n), "words": np.bincount(w.doc, minlength=n), "hashed": np.zeros(n, dtype=np.uint64)}
         np.bitwise_or.at(got["hashed"], d[new], np.uint64(1) << (h[new] % np.uint64(HASHED)))
         odd = (w.hash & np.uint64(1)) == 1
+        english = by_list[0]
         group = (w.hash >> np.uint64(1)) % np.uint64(4)
-        fire = [count(insult & odd) > 0, count(insult & ~odd) > 0, *(count(mined & (group == g)) > 0 for g in range(4))]
+        fire = [count(english & odd) > 0, count(english & ~odd) > 0, *(count(x) > 0 for x in (*by_list[1:], threat, disguised)), *(count(mined & (group == g)) > 0 for g in range(4))]
         total = count(insult | mined | begun)
         fire += [got["beginnings"] > 0, got["beginnings"] > 1, got["different"] > 1, (total > 0) & (total * 200 >= got["words"]), total == 0]
         got["pattern"] = sum(f.astype(np.int64) << i for i, f in enumerate(fire))
