@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm._spark import rewritten, table
+from lexiflow.llm._spark import discard, rewritten, table
 from lexiflow.llm.bpe import encoded
 from lexiflow.llm.mixing import mixed
 from lexiflow.llm.near_dup import deduplicated
@@ -55,13 +55,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", bpe),
 ]
 
-#: Toxicity's label model, near-duplicate groups and BPE are beyond SQL; tests hold run() against a brute-force version.
+#: Toxicity's label model, near-duplicate groups and BPE are beyond SQL; tests hold run() against a brute-force version of all
+#: five stages.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each one's result but the last kept in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents. Each one's result but the last is kept in the shared folder, until the next one's is there; that of
+    the last but one stays, as what is returned reads it."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = rewritten(stage(spark, docs, sf_dir), name)
+        docs, new = rewritten(stage(spark, docs, sf_dir), name)
+        if path:
+            discard(spark, path)
+        path = new
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,11 +34,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def rewritten(df: DataFrame, name: str) -> DataFrame:
-    """The table written as Parquet to the shared folder and read again, void columns as strings."""
+def rewritten(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table written as Parquet to the shared folder and read again, void columns as strings; and its path."""
     path = scratch(df.sparkSession, name)
     df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"}).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that rewritten() wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def reach(spark: SparkSession) -> None:
