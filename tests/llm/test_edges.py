@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,36 @@ def test_near_dup(docs, none):
     kept = near_dup.deduplicated(docs)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2
     assert near_dup.near_duplicates(none).count() == near_dup.deduplicated(none).count() == 0
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality_rules", "near_dedup", "mixing", "bpe"])
+def test_pipeline_stages(spark, docs, none, labels, tmp_path, name):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, and no rows at all, for each stage."""
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, str(tmp_path))
+    n = {"toxicity": len(ROWS), "quality_rules": len(ROWS), "near_dedup": len(ROWS) - 2, "bpe": len(ROWS)}
+    if name == "bpe":
+        assert "token_ids" in got.columns
+    else:
+        assert got.columns == docs.columns
+    ids = [r.doc_id for r in got.select("doc_id").collect()]
+    assert set(ids) <= {r[0] for r in ROWS} and (name not in n or len(ids) == n[name])
+    assert stage(spark, none, str(tmp_path)).count() == 0
+    labels.where("false").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    assert stage(spark, docs, str(tmp_path)).count() == len(ids)
+
+
+def test_pipeline_leaves_one_stage_behind(spark, docs, labels, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from lexiflow.llm import _spark
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    paths = []
+    monkeypatch.setattr(_spark, "scratch", lambda s, name, f=_spark.scratch: (paths.append(f(s, name)), paths[-1])[1])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = [p for p in paths if os.path.exists(p.removeprefix("file://"))]
+    assert len(paths) == 4 and left == paths[-1:]
