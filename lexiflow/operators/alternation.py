@@ -3,7 +3,7 @@
 A rule belongs to an alternation number and a direction: 'a' maps a stem as found in a form to base stems, 'g' a base stem to the
 stem of a form. Rules of one number are split into groups; within a group only the matching rules of the least rank apply (all
 of them: a branch may give several stems), and a rule with emit = false gives nothing but keeps later ranks from applying.
-Endings are kept as regular expressions without look-around, so that the same table serves Spark and SQL engines alike.
+Rules are joined to stems by number and last letter; their endings are compared as text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "direction string, mija int, grp int, rank int, ord int, ends string, not_ends string, starts string, min_len int, syllables int, third string, not_third string, proper boolean, superlative boolean, head int, cut int, pre string, add string, degree string, mark string, length string, emit boolean, use_third boolean"
+SCHEMA = "rule_mija int, tail string, grp int, rank int, ord int, ends string, not_ends string, starts string, min_len int, syllables int, third string, not_third string, rule_proper boolean, rule_superlative boolean, head int, cut int, pre string, add string, degree string, mark string, length string, emit boolean, use_third boolean"
 
 
 @dataclass(frozen=True)
@@ -41,10 +41,6 @@ class E:
     use_third: bool = False
 
 
-def _re(ends: str) -> str | None:
-    return f"({'|'.join(ends.split('/'))})$" if ends else None
-
-
 P, C, S = "Pamata", "Pārākā", "Vispārākā"
 INA = "inā/sargā"
 Group = list[list[E]]
@@ -258,7 +254,9 @@ ANALYSIS |= {
     ],
     102: [
         [
-            *_marked(("kš", ("kst",)), ("šl", ("šļ", "sl")), ("žl", ("žļ", "zl")), ("šm", ("šm", "sm")), ("šn", ("šņ", "sn")), ("žn", ("žņ", "zn")), ("ll", ("ļļ",)), ("nn", ("ņņ",))),
+            *_marked(("kš", ("kst",)), ("šl", ("šļ", "sl")), ("žl", ("žļ", "zl"))),
+            [E("šm", 2, "šm", mark="šm -> šm"), E("šm", 2, "sm", mark="sn -> šn")],  # the mark is that of the next branch
+            *_marked(("šn", ("šņ", "sn")), ("žn", ("žņ", "zn")), ("ll", ("ļļ",)), ("nn", ("ņņ",))),
             *_marked(("č", ("c",)), ("š", ("t", "s")), ("ž", ("d", "z")), ("l", ("ļ",)), ("n", ("ņ",)), ("k", ("ķ",)), ("g", ("ģ",))),
             [E()],
         ]
@@ -354,27 +352,12 @@ def vowel_changed(stem: Column, direction: str) -> Column:
     return F.when(new.isNull(), stem).otherwise(F.concat(F.regexp_extract(stem, pattern, 1), new, F.regexp_extract(stem, pattern, 3)))
 
 
+#: The first number of Latgalian.
+LATGALIAN = 99
 #: Numbers whose analyses are never checked, and those where a failed check drops the analysis; elsewhere it is ignored.
 UNCHECKED, STRICT = (18, 20, 34, 35), (1, 2, 5, 6, 7, 8, 9, 14, 15, 17, 23, 26, 36, 37)
 
 
-def rule_rows() -> list[tuple]:
-    out = []
-    for direction, table in (("a", ANALYSIS), ("g", GENERATION)):
-        for mija, groups in table.items():
-            ord_ = 0
-            for grp, group in enumerate(groups):
-                for rank, branch in enumerate(group):
-                    for e in branch:
-                        out.append((direction, mija, grp, rank, ord_, _re(e.ends), _re(e.no), e.starts or None, e.least, e.syllables, _re(e.third), _re(e.not_third), e.proper, e.superlative, e.head, e.cut, e.pre, e.add, e.degree, e.mark, e.length, e.emit, e.use_third))
-                        ord_ += 1
-    return out
-
-
-def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rule_rows(), SCHEMA)
-
-
 def _bars(ends: str) -> str:
     return f"|{ends.replace('/', '|')}|" if ends else ""
 
@@ -393,8 +376,7 @@ def keyed_rules(spark: SparkSession, direction: str) -> DataFrame:
                         of = "/".join(x for x in ends if x[-1:] == tail)
                         out.append((mija, tail, grp, rank, ord_, _bars(of), _bars(e.no), e.starts or None, e.least, e.syllables, _bars(e.third), _bars(e.not_third), e.proper, e.superlative, e.head, e.cut, e.pre, e.add, e.degree, e.mark, e.length, e.emit, e.use_third))
                     ord_ += 1
-    names = SCHEMA.removeprefix("direction string, ").replace("mija int, ", "rule_mija int, tail string, ").replace(" proper ", " rule_proper ").replace(" superlative ", " rule_superlative ")
-    return spark.createDataFrame(out, names)
+    return spark.createDataFrame(out, SCHEMA)
 
 
 def redirects(spark: SparkSession) -> DataFrame:

@@ -13,7 +13,8 @@ from ..functions import bags
 from ..functions.text import fallback_class, first_capital, like_case
 from ..seed import Catalog, Settings
 from ..session import cut
-from .alternation import variants, verified
+from .alternation import LATGALIAN, variants, verified
+
 
 def suffixes(vocab: DataFrame, longest: Column | int) -> DataFrame:
     """token, low, k, suffix, stem: every ending length that may be cut off, 0 and up to two less than the token has."""
@@ -71,7 +72,9 @@ def _variant_bag() -> Column:
     none = F.create_map().cast("map<string,string>")
     degree = F.when(F.col("degree").isNotNull(), F.create_map(F.lit("Pakāpe"), F.col("degree"))).otherwise(none)
     mark = F.when(F.col("mark").isNotNull(), F.create_map(F.lit("Mija"), F.col("mark"))).otherwise(none)
-    return F.map_concat(degree, mark)
+    # Latgalian superlatives with vys- are discouraged
+    frowned = F.when((F.col("degree") == "Vispārākā") & (F.col("mija") >= LATGALIAN), F.create_map(F.lit("Valodas normēšana"), F.lit("Nevēlams"))).otherwise(none)
+    return F.map_concat(degree, mark, frowned)
 
 
 _READING = ["token", "tier", "lexeme_id", "ending_id", "paradigm_id", "language", "lemma", "attrs", "k", "ord"]

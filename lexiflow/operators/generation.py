@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bags
 from ..functions.text import glue, like_case, punctuation
 from ..seed import Catalog
-from .alternation import variants
+from .alternation import LATGALIAN, variants
 from .candidates import completed_lexemes
 
 CASES = ("Nominatīvs", "Ģenitīvs", "Datīvs", "Akuzatīvs", "Lokatīvs")
@@ -41,7 +41,8 @@ def inflect(lemmas: DataFrame, cat: Catalog, lexemes: DataFrame | None = None, n
     made = rows.join(variants(keys, "g"), ["stem", "mija", "third_stem", "proper", "superlative"])
     none = F.create_map().cast("map<string,string>")
     degree = F.when(F.col("degree").isNotNull(), F.create_map(F.lit("Pakāpe"), F.col("degree"))).otherwise(none)
-    attrs = bags.reading(degree, F.col("paradigm_attrs"), F.col("lexeme_attrs"), F.col("ending_attrs"))
+    frowned = F.when((F.col("degree") == "Vispārākā") & (F.col("mija") >= LATGALIAN), F.create_map(F.lit("Valodas normēšana"), F.lit("Nevēlams"))).otherwise(none)
+    attrs = bags.reading(F.map_concat(degree, frowned), F.col("paradigm_attrs"), F.col("lexeme_attrs"), F.col("ending_attrs"))
     forms = made.select("lemma", "lexeme_id", "language", "ending_id", like_case(F.col("lemma"), F.concat("variant", "ending")).alias("form"), attrs.alias("attrs"), (F.col("ending_id") * 100 + F.col("variant_ord")).alias("ord"))
     neg = F.broadcast(cat.prefixes.where("kind = 'negation' AND ord = 0").select("language", F.col("prefix").alias("neg")))
     verbs = forms.where((_get("Vārdšķira") == "Darbības vārds") & (_get("Noliegums") != "Jā") & (_get("Izteiksme") != "Vajadzības"))

@@ -16,6 +16,7 @@ from ..operators import alternation, candidates, generation, learning, viterbi
 from ..operators import tokens as tok
 from ..session import configure, cut
 from ..sources import tables
+from . import alternation_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -172,55 +173,47 @@ def stem_lookup(spark, d):
 
 
 _SAMPLES = sorted({x for x in "mac mēc mic moc māc myc krs ej iej uoj dov lobuok vysulobuok vyslobuok lobuoka lobuļuok muocei ļdei dzeiv runuo skraidē juomuoc juorunuo ļļ muokslin tautiš kuš rak rok tēv mež galdiņ lāč zaļ vislielāk lielāk jārakt jārok skaņ dod skaš guļ sak saka saki māk sēž sēdē sacī gulē vajag vajadzē iet ej kos pūz zemnīc lūdz sarūdz veikus inā sargā ļaud kāj mājās".split()})
-_IDS = sorted({*alternation.ANALYSIS, *alternation.REDIRECTS})
-_CASES = [(s, m, t, p, u) for s in _SAMPLES for m in _IDS for t, p, u in (("", False, False), ("kod", True, True))]
-_RULE = "direction, mija, grp, rank, ord, ends, not_ends, starts, min_len, syllables, third, not_third, proper, superlative, head, cut, pre, addition, degree, mark, length, emit, use_third"
-
-
-def _vowel_sql(stem: str, direction: str) -> str:
-    pattern, to = alternation.VOWELS[direction]
-    new = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in to.items())
-    part = lambda i: f"regexp_extract({stem}, '{pattern}', {i})"
-    return f"coalesce({part(1)} || CASE {part(2)} {new} END || {part(3)}, {stem})"
-
-
-def _mija_sql(direction: str, tail: str) -> str:
-    bare = "CASE WHEN prefix IS NULL THEN stem ELSE substr(stem, length(prefix) + 1) END"
-    strip = f"CASE WHEN vowels THEN {_vowel_sql('(' + bare + ')', 'a')} ELSE {bare} END" if direction == "a" else f"coalesce(prefix, '') || CASE WHEN vowels THEN {_vowel_sql('stem', 'g')} ELSE stem END"
-    need = "WHERE prefix IS NULL OR (starts_with(stem, prefix) AND length(stem) >= least)" if direction == "a" else ""
-    return f"""WITH {values('c', 'stem, mija, third_stem, proper, superlative', _CASES)}, {values('rules', _RULE, alternation.rule_rows())},
-{values('redirects', 'mija, prefix, least, target, vowels', [(k, *v) for k, v in alternation.REDIRECTS.items()])},
-x AS (SELECT c.*, prefix, {strip} AS st, coalesce(target, c.mija) AS to_mija FROM c LEFT JOIN redirects USING (mija) {need}),
-hit AS (SELECT x.*, r.* EXCLUDE (mija, proper, superlative), min(rank) OVER (PARTITION BY x.stem, x.mija, third_stem, x.proper, x.superlative, grp) AS low FROM x JOIN rules r ON r.mija = to_mija AND direction = '{direction}'
-  WHERE (ends IS NULL OR regexp_matches(st, ends)) AND (not_ends IS NULL OR NOT regexp_matches(st, not_ends)) AND (starts IS NULL OR starts_with(st, starts)) AND length(st) >= min_len
-  AND len(regexp_extract_all(lower(st), '[aāeēiīouū]+')) >= syllables AND (third IS NULL OR regexp_matches(third_stem, third)) AND (not_third IS NULL OR NOT regexp_matches(third_stem, not_third))
-  AND (r.proper IS NULL OR r.proper = x.proper) AND (r.superlative IS NULL OR r.superlative = x.superlative)),
-found AS (SELECT stem, mija, third_stem, proper, superlative, CASE WHEN use_third THEN third_stem ELSE pre || substr(st, head + 1, greatest(length(st) - head - cut, 0)) || addition END AS variant, degree, mark, length, ord AS variant_ord FROM hit WHERE rank = low AND emit)
-{tail}"""
+_SAMPLES = sorted({*_SAMPLES, *(x + e for e in alternation_sql.endings() for x in ("ma", "vis"))})
+_IDS = [*alternation_sql.BACK, *alternation_sql.REDIRECTS, 999]
+_ASKED = [("", False, False), ("kod", True, True), ("mat", False, True), ("mas", False, False), ("gāj", True, False)]
+_CASE_SQL = f"{values('samples', 'stem', [(x,) for x in _SAMPLES])}, {values('ids', 'mija', [(x,) for x in _IDS])}, {values('asked', 'third_stem, proper, superlative', _ASKED)}, c AS (SELECT * FROM samples, ids, asked)"
 
 
 def _mija(spark, direction):
-    return alternation.variants(spark.createDataFrame(_CASES, "stem string, mija int, third_stem string, proper boolean, superlative boolean"), direction)
+    """Variants of sample stems under every number, in order."""
+    rows = spark.createDataFrame([(x,) for x in _SAMPLES], "stem string").crossJoin(spark.createDataFrame([(x,) for x in _IDS], "mija int"))
+    rows = rows.crossJoin(spark.createDataFrame(_ASKED, "third_stem string, proper boolean, superlative boolean"))
+    key = ["stem", "mija", "third_stem", "proper", "superlative"]
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("variant_ord"))
+    return alternation.variants(rows, direction).withColumn("variant_no", number).drop("variant_ord")
 
 
-@query(_mija_sql("a", "SELECT * FROM found"))
+@query(f"WITH {_CASE_SQL} SELECT * FROM {alternation_sql.variants_sql('c', 'a')}")
 def mija_analysis(spark, d):
     """Base stems of sample stems under every alternation."""
     return _mija(spark, "a")
 
 
-@query(_mija_sql("g", "SELECT * FROM found"))
+@query(f"WITH {_CASE_SQL} SELECT * FROM {alternation_sql.variants_sql('c', 'g')}")
 def mija_generation(spark, d):
+    """Stems of forms of sample stems under every alternation."""
     return _mija(spark, "g")
 
 
-@query()
+_FATAL = "1, 2, 5, 6, 7, 8, 9, 14, 15, 17, 23, 26, 36, 37"
+_AGAIN_SQL = f"""WITH {_CASE_SQL}, f AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM {alternation_sql.variants_sql('c', 'a')}),
+again AS (SELECT id, stem AS wanted, variant AS stem, mija, CASE WHEN mija = 6 AND ends_with(third_stem, 'ī') THEN third_stem[:-2] ELSE third_stem END AS third_stem, unnest(list_distinct([proper, FALSE])) AS proper, coalesce(degree, '') = 'Vispārākā' AS superlative FROM f WHERE mija IN ({_FATAL})),
+met AS (SELECT DISTINCT id FROM {alternation_sql.variants_sql('again', 'g', 'id, wanted')} WHERE lower(variant) = lower(wanted))
+SELECT * EXCLUDE (id) FROM f WHERE mija NOT IN ({_FATAL}) OR (mija = 7 AND ends_with(variant, 'dod')) OR id IN (SELECT id FROM met)"""
+
+
+@query(_AGAIN_SQL)
 def mija_roundtrip(spark, d):
     """Analyses that hold when inflected again."""
     return alternation.verified(_mija(spark, "a"))
 
 
-@query(f"WITH {values('redirects', 'mija, prefix, least, target, vowels', [(k, *v) for k, v in alternation.REDIRECTS.items()])} SELECT mija, prefix, least, target, vowels FROM redirects")
+@query(f"WITH {values('redirects', 'mija, prefix, least, target, vowels', [(k, *v) for k, v in alternation_sql.REDIRECTS.items()])} SELECT mija, prefix, least, target, vowels FROM redirects")
 def redirect_prefix(spark, d):
     return alternation.redirects(spark)
 
