@@ -18,34 +18,48 @@ EXCEPTIONS = (
     "plkst.", "u.c.", "u.tml.", "u.tt.", "t.i.", "t.s.", "g.k.", "u.tj.", "t.sk.", "š.g.", "p.m.ē.", "Dr.", "Drs.", "Inc.", "Ltd.", "Mr.",
     "Mrs.", "Ms.", "St.", "etc.", "vs.", "viņ.", "i.e.", "e.g.", "u.t.t.", "Dr.h.c.", "M.A.", "M.Sc.",
 )
-_SEP = r" \t\n\r ​.?:/!,;\"'`´(){}<>«»\-+\[\]—‐-–―‘-‟′-‷‹›‼‽⁇-⁉․‥…&•*"
-_L, _W, _DASH = r"[\p{L}­]", r"[\p{L}\p{N}]", r"[\-‐-―']"
+#: Kept whole besides: doubled quotation marks and the like.
+SIGNS = ("''", "’’", "‘’", "***")
+_SEP = r" \t\n\r\u00A0\u200B.?:/!,;\"'`´(){}<>«»\-+\[\]—‐‑‒–―‘’‚‛“”„‟′″‴‵‶‷‹›‼‽⁈⁉․‥…&•*"
+_L, _W, _D, _DASH = r"[\p{L}\u00AD]", r"[\p{L}\p{N}\u00AD]", r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", r"[\-‐‑‒–—―']"
 KINDS = (
     ("initial", r"(?:D[zžZŽ]|\p{Lu})\."),
-    ("clock", r"(?:[01]\d|2[0-3])(?::[0-5]\d)+"),
-    ("date", r"\d{4}[\-.]\d\d[\-.]\d\d\.?"),
-    ("house", rf"\d+{_L}"),
-    ("paragraph", r"\d*\.\d+\.(?:\d+\.?)*"),
-    ("number", rf"\d+(?:[ ']\d\d\d)*(?:\.(?:\d+|{_DASH})?|,(?:\d+|{_DASH})|[/\\]\d+)?"),
-    ("e-mail", rf"{_W}[\p{{L}}\p{{N}}_.\-]*@{_W}+(?:[_\-.]{_W}+)*"),
-    ("url", rf"(?:[hH][tT][tT][pP][sS]?://|[fF][tT][pP][sS]?://|[wW]{{3}}\.)[\p{{L}}\p{{N}}/](?:[_\-@:?=&%.]?[\p{{L}}\p{{N}}/])*"),
+    ("clock", rf"(?:[01]{_D}|2[0-3])(?::[0-5]{_D})+"),
+    ("date", rf"{_D}{{4}}[\-.]{_D}{_D}[\-.]{_D}{_D}\.?"),
+    ("house", rf"{_D}+{_L}"),
+    ("paragraph", rf"{_D}*\.{_D}*\.(?:{_D}|\.)*"),
+    ("number", rf"{_D}+(?:[ ']{_D}{_D}{_D})*(?:\.(?:{_D}+|{_DASH})?|,(?:{_D}+|{_DASH})|[/\\]{_D}+)?"),
+    ("e-mail", rf"{_W}[\p{{L}}\p{{N}}\u00AD_.\-]*@{_W}(?:{_W}|[_\-.]+{_W})*"),
+    ("url", r"(?:[hH][tT][tT][pP][sS]*://|[fF][tT][pP][sS]*://|[wW]{3}\.)[\p{L}\p{N}\u00AD/](?:[_\-@:?=&%.]?[\p{L}\p{N}\u00AD/])*"),
     ("domain", rf"{_L}+\.[lL][vV]"),
     ("stop", r"[.?!]+"),
     ("spaced", rf"{_L}(?: {_L})+"),
-    ("word", r"[\p{L}\p{N}­]+(?:[_\-][\p{L}\p{N}­]+)*'?"),
+    ("word", rf"{_W}+(?:[_\-]{_W}+)*'?"),
 )
+#: A word of two letters or more right before one of these is a word under any rule; so is a longer one that ends a sentence.
+_PLAIN = r"\p{L}{2,}+(?=[ \n,;)!?”»\u200B])"
 PORTABLE = r"\p{L}+(?:['-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*|[.!?]+|[^\s\p{L}\p{N}]"
 CLOSERS = (".", "!", "?", "?!", "!?", "...", "…", "....", ".....")
 LENGTH_CAP = 250
 
 
+def _quoted(e: str) -> str:
+    """The exception as a pattern that takes either case of each letter."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.lower() != c.upper() and len(c.lower()) == len(c.upper()) == 1 else re.sub(r"([^\w\s])", r"\\\1", c) for c in e)
+
+
 def pattern(exceptions: Iterable[str] = ()) -> str:
     """The regular expression of exact_tokens()."""
-    own = sorted(dict.fromkeys([*exceptions, *EXCEPTIONS]), key=len, reverse=True)
+    own = sorted(dict.fromkeys([*exceptions, *EXCEPTIONS, *SIGNS]), key=len, reverse=True)
     end = rf"(?:(?=[{_SEP}])|(?<!\p{{L}}))"
-    kinds = [f"(?iu:{'|'.join(re.sub(r'([^\w\s])', r'\\\1', e) for e in own)}){end}"]
+    kinds = [f"(?:{'|'.join(_quoted(e) for e in own)}){end}"]
     kinds += [rf"(?:{p}){end}" for _, p in KINDS]
-    return "|".join([*kinds, r"[^\s ​﻿]"])
+    # what most tokens are comes first, where no exception could begin with it
+    if not any(re.match(r"[^\W\d_]{2,}[ \n,;)!?”»]", e) for e in own):
+        kinds.insert(0, _PLAIN)
+    longest = max((len(re.match(r"[^\W\d_]*", e)[0]) for e in own if re.match(r"[^\W\d_]+\.", e)), default=0)
+    kinds.insert(1, rf"\p{{L}}{{{longest + 1},}}+(?=\.[ \n])")
+    return "|".join([*kinds, r"[^\s\u00A0\u200B\uFEFF]"])
 
 
 def brute_split(text: Column) -> Column:
@@ -55,12 +69,16 @@ def brute_split(text: Column) -> Column:
 
 def exact_tokens(text: Column, exceptions: Iterable[str] = ()) -> Column:
     """array<string>; null for a null text."""
-    marked = F.replace(F.concat(text, F.lit(" ")), F.lit("''"), F.lit("​''"))
-    # the full stop that ends a text is a token of its own; so is the apostrophe that closes a quotation
-    marked = F.regexp_replace(marked, r"([\p{L}\p{N}_])\.(\s*)$", "$1​.$2")
-    marked = F.regexp_replace(marked, r"(^|[^\p{L}\p{N}])'([^']+)'", "$1'$2​'")
+    marked = F.replace(F.concat(text, F.lit(" ")), F.lit("''"), F.lit("\u200b''"))
+    # the full stop that ends a text is a token of its own
+    marked = F.regexp_replace(marked, r"([\p{L}\p{N}_])\.(\s*)$", "$1\u200b.$2")
+    # an apostrophe that begins a token opens a quotation, and the next that follows a token closes it
+    good = r"[\p{L}\p{N}\u00AD.?!]"
+    quotes = rf"((?<![\p{{L}}\p{{N}}\u00AD])'(?:[^']*+(?<!{good})')*+[^']*+(?<={good}))'"
+    marked = F.when(F.contains(text, F.lit("'")), F.regexp_replace(marked, quotes, "$1\u200b'")).otherwise(marked)
     found = F.regexp_extract_all(marked, F.lit(pattern(exceptions)), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.regexp_replace(F.replace(t, F.lit("­"), F.lit("")), r"[\s​]+$", "")), lambda t: t != "")
+    clean = F.filter(F.transform(found, lambda t: F.regexp_replace(F.replace(t, F.lit("\u00ad"), F.lit("")), r"[\s\u200b]+$", "")), lambda t: t != "")
+    return F.when(F.contains(text, F.lit("\u00ad")), clean).otherwise(found)
 
 
 def portable_tokens(text: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions import bags, tags
 from ..functions.text import case_style, fallback_class, shape, syllables
 from ..operators import alternation, candidates, generation, learning, viterbi
 from ..operators import tokens as tok
-from ..session import configure, cut
+from ..session import configure, cut, spread
 from ..sources import tables
 from . import alternation_sql
 
@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def portable(spark: SparkSession, sf_dir: str) -> DataFrame:

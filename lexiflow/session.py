@@ -21,3 +21,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexiflow-"))
     return df.checkpoint(eager=True)
+
+
+#: A table of fewer bytes than this, compressed, may lie in one row group, hence in one task.
+SMALL, TINY = 24 << 20, 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a small table over all cores, however few row groups it has. Larger tables have tasks enough as they lie, and are never
+    shuffled for this; tiny ones aren't worth it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if TINY < size < SMALL else df
