@@ -37,6 +37,21 @@ def with_proper_nouns(occurrences: DataFrame) -> DataFrame:
     return rows.unionByName(made).drop("_ask")
 
 
+def _coded(rows: DataFrame, cat: Catalog) -> DataFrame:
+    """rows (attrs and others) with tag; each distinct bag is coded once."""
+    kinds = rows.where("attrs IS NOT NULL").select(F.to_json("attrs").alias("id"), "attrs").dropDuplicates(["id"])
+    coded = tags.to_tag(cut(kinds), cat.tag_values)
+    return rows.withColumn("id", F.to_json("attrs")).join(coded, "id", "left").drop("id")
+
+
+def best_of_tokens(readings: DataFrame, cat: Catalog) -> DataFrame:
+    """token, first, lemma, attrs, tag: the best reading of each token at the beginning of a sentence and elsewhere."""
+    places = readings.withColumn("first", F.explode(F.array(F.lit(True), F.lit(False))))
+    rows = with_proper_nouns(places.select(F.lit(0).alias("doc_id"), F.col("first").cast("int").alias("sent_id"), F.col("token").alias("pos"), "first", "token", "cand_idx", "lemma", "attrs", "rank"))
+    best = rows.groupBy("token", "first").agg(F.min_by(F.struct("lemma", "attrs"), "rank").alias("x")).select("token", "first", "x.lemma", "x.attrs")
+    return cut(_coded(best, cat))
+
+
 def promoted(chosen: DataFrame, all_: DataFrame, overrides: DataFrame, cat: Catalog) -> DataFrame:
     """chosen and all_ (doc_id, sent_id, pos, token, lemma, tag, attrs, cand_idx): where overrides (form, tag, lemma) name the token, the
     reading of that tag and lemma is taken, and made from the tag if there is none."""
@@ -55,10 +70,13 @@ def tag(docs: DataFrame, cat: Catalog, settings: Settings = Settings(guessing=Tr
     sents = cut(tok.sentences(tok.tokens(docs, exceptions=exceptions)))
     readings = candidates.analyze(sents.select("token").distinct(), cat, settings).select("token", "cand_idx", "lemma", "attrs", "rank")
     first = F.col("pos") == F.min("pos").over(Window.partitionBy("doc_id", "sent_id"))
+    if transitions is None and overrides is None and not keep_all:
+        # what is best depends on the token and whether it begins its sentence alone: one row a token and place is joined to the text
+        words = best_of_tokens(cut(readings), cat)
+        out = sents.withColumn("first", first).join(words, ["token", "first"], "left")
+        return generation.prepositions_agree(out.select("doc_id", "sent_id", "pos", "token", "lemma", F.coalesce("tag", F.lit("-")).alias("tag"), "attrs"))
     occ = cut(with_proper_nouns(sents.withColumn("first", first).join(cut(readings), "token", "left")))
-    kinds = occ.where("attrs IS NOT NULL").select("token", "cand_idx", F.to_json("attrs").alias("id"), "attrs").dropDuplicates(["id"])
-    coded = tags.to_tag(cut(kinds.select("id", "attrs")), cat.tag_values)
-    occ = cut(occ.withColumn("id", F.to_json("attrs")).join(coded, "id", "left").drop("id", "first"))
+    occ = cut(_coded(occ.drop("first"), cat))
     columns = ["doc_id", "sent_id", "pos", "token", "lemma", F.coalesce("tag", F.lit("-")).alias("tag"), "attrs"]
     if keep_all:
         return occ.select(*columns, "rank")

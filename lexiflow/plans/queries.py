@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import seed
 from ..functions import bags, tags
 from ..functions.text import case_style, fallback_class, shape, syllables
-from ..operators import alternation, candidates, generation, learning, viterbi
+from ..operators import alternation, candidates, generation, learning, tagging, viterbi
 from ..operators import tokens as tok
 from ..session import configure, cut, spread
 from ..sources import tables
@@ -529,3 +529,9 @@ def ranked_vocabulary(spark, d):
     v = tok.tokens(read(spark, d, "documents")).select("token").distinct()
     r = cut(candidates.analyze(v, cat, seed.Settings(guessing=True)).withColumn("id", F.concat_ws("\t", "token", F.col("cand_idx").cast("string"))))
     return r.join(tags.to_tag(r, cat.tag_values), "id").select("token", "rank", "lemma", "tag", "score", bags.to_json(F.col("attrs")).alias("attrs"))
+
+
+@query()
+def tag_documents(spark, d):
+    """Lemma, tag and attributes of every token of the documents."""
+    return tagging.tag(read(spark, d, "documents"), seed.catalog(spark)).withColumn("attrs", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs")))))
