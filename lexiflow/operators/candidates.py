@@ -13,6 +13,7 @@ from ..functions import bags
 from ..functions.text import fallback_class, first_capital, like_case
 from ..seed import Catalog, Settings
 from ..session import cut
+from . import closed
 from .alternation import LATGALIAN, variants, verified
 
 
@@ -244,7 +245,7 @@ def analyze(vocab: DataFrame, cat: Catalog, settings: Settings = Settings()) ->
     rows = rows.withColumn("_in", F.col("_in") | ((F.col("tier") == 3) & asked))
     rows = rows.withColumn("_in", F.col("_in") | ((F.col("tier") == 4) & ~has(F.col("_in"))))
     rows = rows.withColumn("_in", F.col("_in") | ((F.col("tier") == 5) & ~has(F.col("_in"))))
-    return ranked(drop_rare(rows.where("_in").select(*_READING), settings), cat, settings)
+    return ranked(drop_rare(closed.completed(rows.where("_in").select(*_READING), cat), settings), cat, settings)
 
 
 def analyze_lemma(vocab: DataFrame, cat: Catalog, settings: Settings = Settings()) -> DataFrame:

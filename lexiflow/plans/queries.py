@@ -535,3 +535,6 @@ def ranked_vocabulary(spark, d):
 def tag_documents(spark, d):
     """Lemma, tag and attributes of every token of the documents."""
     return tagging.tag(read(spark, d, "documents"), seed.catalog(spark)).withColumn("attrs", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs")))))
+
+
+from . import lexical  # noqa: E402, F401  registers more queries

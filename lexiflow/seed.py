@@ -123,6 +123,8 @@ class Catalog:
     tag_values: DataFrame
     end_freq: DataFrame
     lex_freq: DataFrame
+    #: pos, lemma, attr, value: attributes that lists of lemmas correct, if there are any.
+    lemma_lists: DataFrame | None = None
 
 
 def catalog(spark: SparkSession) -> Catalog:
