@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from ._spark import cut, table
 
 K, DIGITS = 10, 7
-#: Bytes of queries and of data that a local task holds; pivots at most (they affect speed alone); rows of queries and of data at a time.
-TASK_BYTES, MOST_PIVOTS, QUERIES, DATA = 1 << 25, 2048, 256, 16384
+#: Bytes of queries and of data that a local task holds; pivots at most (they affect speed alone); rows of queries and of data at a
+#: time, and of data for the first bound.
+TASK_BYTES, MOST_PIVOTS, QUERIES, DATA, SOME = 1 << 25, 2048, 64, 4096, 4096
 #: Squares of larger values might not be finite.
 HUGE = 1e150
 
@@ -70,25 +71,32 @@ def _local(k: int, dim: int):
             near = s - s[0]
             norm = (near**2).sum(1)
             top = float(norm.max())
+            near = np.column_stack([near, norm])
             for at in range(0, len(q), QUERIES):
                 part, pid = q[at : at + QUERIES], qid[at : at + QUERIES]
                 moved = part - s[0]
                 own = (moved**2).sum(1)
-                err = 8 * np.finfo(float).eps * (dim + 8) * (own + top)
+                err = 16 * np.finfo(float).eps * (dim + 8) * (own + top)
                 limit = np.full(len(part), np.inf)
                 found: list[tuple[np.ndarray, np.ndarray]] = []
+                asked = np.column_stack([-2 * moved, np.ones(len(part))])
                 for begin in range(0, len(s), max(DATA, most)):
-                    block = near[begin : begin + max(DATA, most)]
-                    d = own[:, None] + norm[begin : begin + len(block)] - 2 * moved @ block.T
-                    if len(block) >= most and not begin:
-                        far = np.maximum(np.partition(d, most - 1, axis=1)[:, most - 1], 0) + err
-                        limit = (np.sqrt(far) + 1.1 * 10.0**-DIGITS) ** 2 * (1 + 1e-12) + err
+                    d = asked @ near[begin : begin + max(DATA, most)].T  # less own
+                    if not begin and d.shape[1] >= most:
+                        # the nearest of some rows bound those of all
+                        some = d[:, : max(SOME, most)]
+                        far = np.maximum(np.partition(some, most - 1, axis=1)[:, most - 1] + own, 0) + err
+                        limit = (np.sqrt(far) + 1.1 * 10.0**-DIGITS) ** 2 * (1 + 1e-12) + err - own
                     rows, cols = np.nonzero(d <= limit[:, None])
                     found.append((rows, cols + begin))
                 rows, cols = (np.concatenate(c) for c in zip(*found))
                 other = pid[rows] != sid[cols]
                 rows, cols = rows[other], cols[other]
-                exact = np.round(np.sqrt(((part[rows] - s[cols]) ** 2).sum(1)), DIGITS)
+                exact = np.empty(len(rows))
+                for i in range(0, len(rows), 1 << 16):
+                    some = slice(i, i + (1 << 16))
+                    exact[some] = np.sqrt(((part[rows[some]] - s[cols[some]]) ** 2).sum(1))
+                exact = np.round(exact, DIGITS)
                 a, b = pid[rows], sid[cols]
                 order = np.lexsort((exact, b, a))
                 a, b, exact = a[order], b[order], exact[order]
