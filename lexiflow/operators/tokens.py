@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Kept whole in any case, besides those that a caller adds.
 EXCEPTIONS = (
-    "plkst.", "u.c.", "u.tml.", "u.tt.", "t.i.", "t.s.", "g.k.", "u.tj.", "t.sk.", "š.g.", "p.m.ē.", "Dr.", "Drs.", "Inc.", "Ltd.", "Mr.",
-    "Mrs.", "Ms.", "St.", "etc.", "vs.", "viņ.", "i.e.", "e.g.", "u.t.t.", "Dr.h.c.", "M.A.", "M.Sc.",
+    "Dr.", "Dr.h.c.", "Drs.", "e.g.", "etc.", "g.k.", "i.e.", "Inc.", "Ltd.", "M.A.", "M.Sc.", "Mr.", "Mrs.", "Ms.", "p.m.ē.", "plkst.",
+    "St.", "t.i.", "t.s.", "t.sk.", "u.c.", "u.t.t.", "u.tj.", "u.tml.", "u.tt.", "viņ.", "vs.", "š.g.",
 )
 #: Kept whole besides: doubled quotation marks and the like.
 SIGNS = ("''", "’’", "‘’", "***")

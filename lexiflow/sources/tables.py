@@ -84,7 +84,7 @@ def united(parts: list[DataFrame], paradigms_: DataFrame) -> DataFrame:
     """Sources one below the other in order of priority (source_ord), paradigm names filled in by language and id."""
     rows = reduce(DataFrame.unionByName, [p.withColumn("source_ord", F.lit(i)) for i, p in enumerate(parts)])
     names = paradigms_.select("language", "paradigm_id", F.col("name").alias("_name"))
-    return rows.join(F.broadcast(names), ["language", "paradigm_id"], "left").withColumn("paradigm_name", F.coalesce("paradigm_name", "_name")).drop("_name")
+    return rows.join(names, ["language", "paradigm_id"], "left").withColumn("paradigm_name", F.coalesce("paradigm_name", "_name")).drop("_name")
 
 
 def counts(cat: seed.Catalog) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Tokens of a stream of documents: an extension; the rules are those of the batch operators."""
+"""Tokens of a stream of documents: an extension; the rules are those of the batch operators' portable tokenizer."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tokens import tokens
+from ..operators.tokens import portable_tokens, tokens
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -15,7 +15,7 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def counted(docs: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """window, token, n of a stream of documents (doc_id, text and a time)."""
     rows = docs.withWatermark(time, late)
-    got = rows.select(time, F.explode(F.transform(F.split("text", r"\s+"), lambda t: F.lower(t))).alias("token"))
+    got = rows.select(time, F.explode(portable_tokens(F.lower("text"))).alias("token"))
     return got.groupBy(F.window(time, window), "token").agg(F.count("*").alias("n"))
 
 
