@@ -186,13 +186,14 @@ def ending_guesses(vocab: DataFrame, cat: Catalog, settings: Settings, split: Da
     lemma = like_case(F.col("token"), F.concat("variant", "lemma_ending"))
     none = F.create_map().cast("map<string,string>")
     extra = F.create_map(F.lit("Avots"), F.lit("minējums pēc galotnes"), F.lit("Minējums"), F.lit("Galotne"), F.lit("Pamatforma"), lemma)
-    rows = rows.where(may).withColumn("attrs", F.map_concat(_bag(_variant_bag(), F.col("paradigm_attrs"), none, F.col("ending_attrs")), extra)).withColumn("lemma", lemma)
-    a = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
+    # the bag is made for what is left; until then its values are those of the ending, else of the paradigm
+    a = lambda k: F.coalesce(F.try_element_at("ending_attrs", F.lit(k)), F.try_element_at("paradigm_attrs", F.lit(k)), F.lit(""))
     ok = (a("Vārdšķira").isin("Darbības vārds", "Īpašības vārds", "Reziduālis") | (a("Izteiksme") == "Divdabis") | ((a("Vārdšķira") == "Lietvārds") & (F.lit(settings.vocative) | (a("Locījums") != "Vokatīvs"))))
     bare = a("Deklinācija").isin("Nelokāms", "Ģenitīveniskais") | (a("Vārdšķira") == "Reziduālis")
-    rows = rows.where(ok & ((F.col("k") > 0) | bare))
+    rows = rows.where(may & ok & ((F.col("k") > 0) | bare))
     longest = F.max("k").over(Window.partitionBy("token"))
     rows = rows.withColumn("_top", longest).where((F.col("k") == F.col("_top")) | F.col("low").endswith("o"))
+    rows = rows.withColumn("attrs", F.map_concat(_bag(_variant_bag(), F.col("paradigm_attrs"), none, F.col("ending_attrs")), extra)).withColumn("lemma", lemma)
     return rows.select("token", F.lit(5).alias("tier"), F.lit(None).cast("bigint").alias("lexeme_id"), "ending_id", "paradigm_id", "language", "lemma", "attrs", "k", F.col("ending_id").alias("ord"))
 
 
@@ -224,8 +225,8 @@ def ranked(readings: DataFrame, cat: Catalog, settings: Settings = Settings()) -
 
 def analyze(vocab: DataFrame, cat: Catalog, settings: Settings = Settings()) -> DataFrame:
     """Ranked readings of distinct tokens (token); rank 1 is best."""
-    words = vocab.select("token").where("trim(token) <> ''").distinct()
-    # three tiers start from the same splits of the words
+    # every tier starts from the words, and three from the same splits of them
+    words = cut(vocab.select("token").where("trim(token) <> ''").distinct())
     split = cut(endings_of(words, cat))
     tiers = acceptable(lexicon_readings(words, cat, split), settings)
     if settings.diminutives or settings.derived_nouns:
