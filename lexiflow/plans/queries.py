@@ -181,8 +181,8 @@ _CASE_SQL = f"{values('samples', 'stem', [(x,) for x in _SAMPLES])}, {values('id
 
 def _mija(spark, direction):
     """Variants of sample stems under every number, in order."""
-    rows = spark.createDataFrame([(x,) for x in _SAMPLES], "stem string").crossJoin(spark.createDataFrame([(x,) for x in _IDS], "mija int"))
-    rows = rows.crossJoin(spark.createDataFrame(_ASKED, "third_stem string, proper boolean, superlative boolean"))
+    asked = F.explode(F.array(*[F.struct(F.lit(t).alias("third_stem"), F.lit(p).alias("proper"), F.lit(u).alias("superlative")) for t, p, u in _ASKED]))
+    rows = spark.createDataFrame([(x,) for x in _SAMPLES], "stem string").withColumn("mija", F.explode(F.lit(_IDS).cast("array<int>"))).withColumn("x", asked).select("stem", "mija", "x.*")
     key = ["stem", "mija", "third_stem", "proper", "superlative"]
     number = F.row_number().over(Window.partitionBy(*key).orderBy("variant_ord"))
     return alternation.variants(rows, direction).withColumn("variant_no", number).drop("variant_ord")
