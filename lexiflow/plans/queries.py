@@ -166,10 +166,15 @@ def stem_index(spark, d):
     return candidates.stems(seed.catalog(spark)).select("paradigm_id", "stem_type", F.col("base_stem").alias("stem"), "lexeme_id")
 
 
-@query(f"WITH {V}, {_EV}, {values('x', 'language, paradigm_id, stem_type, stem, lexeme_id', [s for s in _STEMS if s[2] == 1])}, {_SUF} SELECT DISTINCT token, m.ending_id, lexeme_id::BIGINT AS lexeme_id FROM m JOIN x USING (paradigm_id, stem)")
+_FORMS = sorted({(s[3] + e[3],) for s in _STEMS for e in seed.ENDING_ROWS if s[1] == e[1] and s[2] == e[5]})
+
+
+@query(f"WITH {T}, {values('forms', 'form', _FORMS)}, v AS (SELECT lower(token) AS token FROM t UNION SELECT form FROM forms), {_EV}, {values('x', 'language, paradigm_id, stem_type, stem, lexeme_id', [s for s in _STEMS if s[2] == 1])}, {_SUF} SELECT DISTINCT token, m.ending_id, lexeme_id::BIGINT AS lexeme_id FROM m JOIN x USING (paradigm_id, stem)")
 def stem_lookup(spark, d):
     s = candidates.stems(seed.catalog(spark)).where("stem_type = 1").select("paradigm_id", F.col("base_stem").alias("stem"), "lexeme_id")
-    return _matches(spark, d).join(s, ["paradigm_id", "stem"]).select("token", "ending_id", "lexeme_id").distinct()
+    words = vocabulary(spark, d).union(spark.createDataFrame(_FORMS, "token string")).distinct()
+    e = seed.catalog(spark).endings.select("paradigm_id", "ending_id", "ending")
+    return candidates.ending_matches(words, e).join(s, ["paradigm_id", "stem"]).select("token", "ending_id", "lexeme_id").distinct()
 
 
 _SAMPLES = sorted({x for x in "mac mēc mic moc māc myc krs ej iej uoj dov lobuok vysulobuok vyslobuok lobuoka lobuļuok muocei ļdei dzeiv runuo skraidē juomuoc juorunuo ļļ muokslin tautiš kuš rak rok tēv mež galdiņ lāč zaļ vislielāk lielāk jārakt jārok skaņ dod skaš guļ sak saka saki māk sēž sēdē sacī gulē vajag vajadzē iet ej kos pūz zemnīc lūdz sarūdz veikus inā sargā ļaud kāj mājās".split()})
@@ -306,11 +311,18 @@ def fallback_tiers(spark, d):
 _PV = values("p", "prefix", [(p[2],) for p in seed.PREFIX_ROWS if p[0] == "lv" and p[1] == "verb"])
 
 
-@query(f"""WITH {V}, {_PV}, c AS (SELECT token, CASE WHEN starts_with(token, 'jā') THEN substr(token, 3) ELSE token END AS cur, CASE WHEN starts_with(token, 'jā') THEN 'jā' ELSE '' END AS keep FROM v),
+#: What is put before every word, so that there are prefixes to take off.
+_HEADS = [("",), ("ne",), ("aiz",), ("jāuz",), ("visne",), ("jāvisaiz",), ("uzne",)]
+
+
+@query(f"""WITH {T}, {values("heads", "head", _HEADS)}, v AS (SELECT DISTINCT head || lower(token) AS token FROM t, heads), {_PV}, c AS (SELECT token, CASE WHEN starts_with(token, 'jā') THEN substr(token, 3) ELSE token END AS cur, CASE WHEN starts_with(token, 'jā') THEN 'jā' ELSE '' END AS keep FROM v),
 g AS (SELECT *, starts_with(cur, 'vis' || prefix) AS sup FROM c, p WHERE starts_with(cur, 'vis' || prefix) OR starts_with(cur, prefix))
 SELECT token, prefix, keep || CASE WHEN sup THEN 'vis' || substr(cur, 4 + length(prefix)) ELSE substr(cur, 1 + length(prefix)) END AS residue FROM g WHERE keep || CASE WHEN sup THEN 'vis' || substr(cur, 4 + length(prefix)) ELSE substr(cur, 1 + length(prefix)) END <> ''""")
 def prefix_strip(spark, d):
-    return candidates.prefix_residues(vocabulary(spark, d), seed.catalog(spark).prefixes).select("token", "prefix", "residue")
+    """Verb prefixes taken off every word, with and without one put before it."""
+    heads = F.explode(F.array(*[F.lit(h) for h, in _HEADS]))
+    words = vocabulary(spark, d).withColumn("head", heads).select(F.concat("head", "token").alias("token")).distinct()
+    return candidates.prefix_residues(words, seed.catalog(spark).prefixes).select("token", "prefix", "residue")
 
 
 @query("SELECT * FROM (VALUES ('blars', 1, 'noun-1a', 50::BIGINT), ('blars', 13, 'adj-1', 5::BIGINT), ('mežs', 1, 'noun-1a', 50::BIGINT)) t(token, paradigm_id, name, n)")
