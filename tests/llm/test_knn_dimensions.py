@@ -37,3 +37,40 @@ def test_clusters_are_pruned_and_exact(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {tuple(r) for r in knn.neighbours(df, k=4, pivots=20).select("vec_id", "neighbour_id", "rank", "distance").collect()}
     assert got == brute(rows, 4)
+
+
+def test_queries_are_the_ids_divisible_by_every(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(-100, 301)]
+    rows += [(i, rows[0][1]) for i in range(401, 420)]  # ties
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    want = {x for x in brute(rows, 5) if x[0] % 50 == 0}
+    for task_bytes in (knn.TASK_BYTES, 4 * 8 * 60):
+        got = {tuple(r) for r in knn.neighbours(df, k=5, task_bytes=task_bytes, every=50).select("vec_id", "neighbour_id", "rank", "distance").collect()}
+        assert got == want
+    assert knn.neighbours(df.where("vec_id % 50 <> 0"), every=50).count() == 0
+
+
+def test_embeddings_of_other_ids_only_answer(spark, sf001):
+    ids = {r[0] for r in spark.read.parquet(f"{sf001}/embeddings.parquet").select("vec_id").collect()}
+    got = knn.op4_exact_top_k(spark, sf001).collect()
+    assert {r.vec_id for r in got} == {i for i in ids if i % 50 == 0} and {r.neighbour_id for r in got} - {r.vec_id for r in got}
+
+
+def test_single_precision_loses_no_neighbour():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 16))
+    near = x[0] + 1e-5 * rng.normal(size=(300, 16))
+    for s in (x, np.concatenate([x, near]), x * 1e-22, x + 1e5, np.concatenate([x, x * 1e18]), np.concatenate([x, x[:500]]), x * 1e140):
+        ids = rng.permutation(len(s))
+        for bounded in (False, True):
+            asks = slice(0, None, 30)
+            d = np.round(np.array([np.sqrt(((s - q) ** 2).sum(1)) for q in s[asks]]), knn.DIGITS)
+            d[np.arange(len(d)), np.arange(len(s))[asks]] = np.inf
+            order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :4]
+            kth = np.take_along_axis(d, order[:, 3:], 1)[:, 0]
+            task = knn._Task(4, 16, ids[asks], s[asks], kth if bounded else np.full(len(d), np.inf))
+            for at in range(0, len(s), 1000):
+                task.add(ids[at : at + 1000], s[at : at + 1000])
+            got = {x for b in task.lists() for x in zip(*(c.to_pylist() for c in b.columns))}
+            assert got == {(int(a), int(ids[j]), float(e[j])) for a, o, e in zip(ids[asks], order, d) for j in o}
