@@ -25,6 +25,17 @@ def beam(candidates: DataFrame, keys: list[str], most: int = BEAM) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
+def most_frequent(ordered: str, most: int = BEAM) -> Column:
+    """beam() of the counts of an ordered array column: array of token and n, the most frequent first, of several the first in order."""
+    w = F.col(ordered)
+    starts = F.array_compact(F.transform(w, lambda t, i: F.when((i == 0) | (F.get(w, i - 1) != t), i)))
+    counted = lambda at: F.transform(
+        at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(w))).cast("bigint").alias("less"), F.get(w, i).alias("token"))
+    )
+    best = F.slice(F.array_sort(F.get(F.transform(F.array(starts), counted), F.lit(0))), 1, most)
+    return F.transform(best, lambda x: F.struct(x["token"].alias("token"), (-x["less"]).alias("n")))
+
+
 def viterbi(candidates: DataFrame, transitions: DataFrame, weight: float = WEIGHT, most: int = BEAM) -> DataFrame:
     """doc_id, sent_id, pos, cand_idx of the best path through candidates (doc_id, sent_id, pos, cand_idx, state, emission).
 
