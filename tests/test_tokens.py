@@ -54,3 +54,11 @@ def test_spread_small_scans(spark, sf001):
     assert spread(big).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     tiny = spark.read.parquet(f"{sf001}/region.parquet")
     assert spread(tiny) is tiny and tok.tokens(tiny.select(F.lit(1).alias("doc_id"), F.lit("a b").alias("text"))).count() > 0
+
+
+def test_white_space_is_skipped_and_marks_stand_alone():
+    """No kind is tried at white space, and marks that begin none come early; not so where an exception begins with one."""
+    from lexiflow.operators.tokens import pattern
+
+    assert pattern().startswith("\\s*+(") and "[\\,\;" in pattern()
+    assert not pattern([" x"]).startswith("\\s*+") and "\;" not in pattern([";)"]).split("]")[2]
